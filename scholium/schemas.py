@@ -1,0 +1,59 @@
+"""Declared schemas of the tables the operators exchange."""
+
+from pyspark.sql import types as T
+
+
+def _table(*fields):
+    return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
+
+
+IDS = _table(("pmid", T.StringType()), ("name", T.StringType()), ("ord", T.LongType()))
+
+QUERIES = _table(
+    ("qid", T.LongType()),
+    ("keyword", T.StringType()),
+    ("pub_type", T.StringType()),
+    ("date_from", T.DateType()),
+    ("date_to", T.DateType()),
+    ("cap", T.IntegerType()),
+)
+
+QUESTIONS = _table(("qid", T.LongType()), ("text", T.StringType()))
+
+DOCS = _table(("source", T.StringType()), ("text", T.StringType()))
+
+PAGES = _table(("page_id", T.LongType()), ("url", T.StringType()), ("html", T.StringType()))
+
+ARTIFACTS = _table(
+    ("pmid", T.StringType()),
+    ("kind", T.StringType()),
+    ("source", T.StringType()),
+    ("content", T.BinaryType()),
+    ("content_key", T.StringType()),
+)
+
+LINKS = _table(
+    ("page_id", T.LongType()),
+    ("pos", T.IntegerType()),
+    ("tag", T.StringType()),
+    ("href", T.StringType()),
+    ("title", T.StringType()),
+    ("download_type", T.StringType()),
+    ("name", T.StringType()),
+    ("content", T.StringType()),
+    ("value", T.StringType()),
+)
+
+CHUNKS = _table(
+    ("source", T.StringType()), ("chunk_no", T.IntegerType()), ("text", T.StringType())
+)
+
+EVIDENCE = _table(
+    ("qid", T.LongType()),
+    ("rank", T.IntegerType()),
+    ("source", T.StringType()),
+    ("chunk_no", T.IntegerType()),
+    ("score", T.DoubleType()),
+)
+
+OUTCOMES = _table(("pmid", T.StringType()), ("status", T.StringType()))
