@@ -20,20 +20,18 @@ CASE page_id % 8
   WHEN 5 THEN concat('<a href="/doi/pdf/10.1/', page_id, '">pdf</a><meta name="citation_pdf_url" content="https://first.example.org/', page_id, '">')
   WHEN 6 THEN concat('<!-- <a href="/doi/pdf/', page_id, '">hidden</a> --><a href="doi/pdf/', page_id, '">pdf</a><a href="/doi/pdf/', page_id, '">pdf</a>')
   ELSE '' END"""
-LANDING_HTML = f"replace(html, '</body>', concat({LANDING}, '</body>'))"
+LANDING_HTML = f"concat(html, {LANDING})"
 
 HOP_URL = "concat('https://hop.example.org/a+b/', {0})"
-HOP_HTML = """replace(html, '</body>', concat(
+HOP_HTML = """concat(html,
   CASE WHEN page_id % 3 = 0 THEN ''
        ELSE concat('<input type="hidden" value="https%3A%2F%2Fhop.example.org%2Fa+b%2F', page_id + 1, '">') END,
   CASE WHEN page_id % 5 = 0 THEN ''
-       ELSE concat('<meta name="citation_pdf_url" content="https://hop.example.org/a+b/', page_id + 2, '">') END,
-  '</body>'))"""
+       ELSE concat('<meta name="citation_pdf_url" content="https://hop.example.org/a+b/', page_id + 2, '">') END)"""
 
-CROSSWALK_HTML = """replace(html, '</body>', concat(
+CROSSWALK_HTML = """concat(html,
   CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('<span class="id citation-doi"> doi: 10.1000/', page_id, '. </span>') END,
-  CASE WHEN page_id % 4 = 0 THEN '' ELSE concat('<a href="/pmc" data-ga-action="PMCID"> PMC', page_id, ' <b>open</b></a>') END,
-  '</body>'))"""
+  CASE WHEN page_id % 4 = 0 THEN '' ELSE concat('<a href="/pmc" data-ga-action="PMCID"> PMC', page_id, ' <b>open</b></a>') END)"""
 
 LAYOUT_URL = """CASE page_id % 6
   WHEN 0 THEN concat(url, '.pdf') WHEN 1 THEN concat('https://www.sciencedirect.com/', page_id)

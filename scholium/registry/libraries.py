@@ -41,7 +41,7 @@ def embed_chunks_with_source(spark, sf):
 
 
 def normalize_embeddings(spark, sf):
-    scaled = table(spark, sf, "embeddings").withColumn("embedding", F.expr("transform(embedding, x -> x * (label + 1))"))
+    scaled = table(spark, sf, "embeddings").withColumn("embedding", F.expr("transform(embedding, x -> cast(x as double) * (label + 1))"))
     unit = library.normalize_embeddings(scaled)
     parts = unnest(unit, ["vec_id"], F.col("embedding"), "x", "pos")
     return parts.select("vec_id", "pos", F.round("x", 6).alias("x"))
@@ -119,7 +119,7 @@ SELECT n_terms, tok, round(sum(w), 5) AS w FROM sized GROUP BY n_terms, tok""",
     "embed_chunks_with_source": f"WITH {_WEIGHTS} SELECT source, chunk_no, tok, round(w, 6) AS w FROM weights",
     "normalize_embeddings": """
 WITH v AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos,
-                  CAST(unnest(embedding) * (label + 1) AS FLOAT)::DOUBLE AS x FROM embeddings)
+                  CAST(unnest(embedding) AS DOUBLE) * (label + 1) AS x FROM embeddings)
 SELECT vec_id, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS x FROM v""",
     "quarantine_failures": f"""
 WITH {_DAMAGED}
