@@ -4,6 +4,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def compute_once(df: DataFrame, keep: list, value: Column, out: str) -> DataFrame:
+    """``keep`` columns and ``out``, an expensive ``value`` that is not to be evaluated again.
+
+    A filter on a plain computed column is moved below it and repeats the whole expression there. A
+    filter on what a generator gives stays above it.
+    """
+    return df.select(*keep, F.explode_outer(F.array(value)).alias(out))
+
+
 def unnest(df: DataFrame, keep: list, array: Column, value: str, pos: str | None = None) -> DataFrame:
     """``keep`` columns and one row per element of ``array``, which has no null elements.
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from scholium.functions import html as hx
 from scholium.functions import urls
-from scholium.functions.arrays import unnest
+from scholium.functions.arrays import compute_once, unnest
 from scholium.plans import skew
+from scholium.plans.storage import materialize
 
 LINK_TAGS = ("a", "meta", "iframe", "frame", "input")
 LINK_ATTRIBUTES = {
@@ -106,7 +107,7 @@ def resolve_fulltext_link(pages: DataFrame, rules: Sequence[LinkRule] = DEFAULT_
         return cases
 
     best = F.array_min(F.transform(elements, candidate))
-    return pages.select("page_id", best.alias("best")).select("page_id", "best.rule_no", "best.target")
+    return compute_once(pages, ["page_id"], best, "best").select("page_id", "best.rule_no", "best.target")
 
 
 def embedded_target(pages: DataFrame) -> DataFrame:
@@ -133,16 +134,20 @@ def follow_link_hops(
 ) -> DataFrame:
     """``(page_id, target)`` after following ``links(page_id, target)`` once per step.
 
-    Each hop looks up the page at the target's address and reads the next address off it. Pages
-    shrink to (url, address) first. A target that very many links share is joined by broadcast,
-    see ``skew.lookup``. A hop that leads nowhere gives null.
+    The next addresses of all steps are read in one pass over the pages and written as a small
+    table, one row per url. Each hop then looks up the target's address there. A target that very
+    many links share is joined by broadcast, see ``skew.lookup``. A hop that leads nowhere gives
+    null.
     """
-    for step in steps:
-        nexts = pages.select("url", F.struct("page_id", _next_link(F.col("html"), step).alias("next")).alias("n"))
-        nexts = nexts.groupBy("url").agg(F.min("n")["next"].alias("next"))
-        uses = links.groupBy("target").agg(F.count(F.lit(1)).alias("uses")).filter(F.col("target").isNotNull())
-        table = uses.join(nexts, uses["target"] == nexts["url"]).select("target", "uses", "next")
-        followed = skew.lookup(links, table, "target", "uses", ["page_id"])
+    names = [f"next{i}" for i in range(len(steps))]
+    found = [_next_link(F.col("html"), step).alias(name) for step, name in zip(steps, names)]
+    first = pages.select("url", F.struct("page_id", *found).alias("n")).groupBy("url").agg(F.min("n").alias("n"))
+    addresses = materialize(first.select(F.col("url").alias("target"), *[f"n.{name}" for name in names]), "hops")
+    for name in names:
+        table = addresses.select("target", F.col(name).alias("next")).filter(F.col("next").isNotNull())
+        uses = links.filter(F.col("target").isNotNull()).groupBy("target").agg(F.count(F.lit(1)).alias("uses"))
+        hot = table.join(F.broadcast(skew.hot_keys(uses, "uses").select("target")), "target")
+        followed = skew.lookup(links, table, hot, "target", ["page_id"])
         links = followed.select("page_id", F.col("next").alias("target"))
     return links
 
@@ -215,7 +220,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         .otherwise(F.coalesce(found("article", article), found("content_column", column)))
     )
     status = F.when(is_pdf, "pdf").when(F.col("c").isNull(), "html_error").otherwise("ok")
-    return clean.select("page_id", "url", chosen.alias("c")).select(
+    return compute_once(clean, ["page_id", "url"], chosen, "c").select(
         "page_id", "c.text", "c.extractor", status.alias("status")
     )
 
@@ -245,7 +250,8 @@ def result_blocks(pages: DataFrame) -> DataFrame:
     starts = hx.open_tag_with("class", RESULT_CLASS, "div", word=True)
     pieces = F.split(hx.strip_hidden(F.col("html")), f"(?={starts})")
     blocks = unnest(pages, ["qid", "page_no"], pieces, "piece", "pos")
-    block = blocks.select("qid", "page_no", "pos", hx.inner_html(F.col("piece"), starts).alias("block"))
+    place = ["qid", "page_no", "pos"]
+    block = compute_once(blocks, place, hx.inner_html(F.col("piece"), starts), "block")
     block = block.filter(F.col("block").isNotNull() & ~F.col("block").rlike(hx.open_tag("table")))
     pdf = hx.inner_html(F.col("block"), hx.open_tag_with("class", RESULT_PDF_CLASS, "div"))
     title = hx.inner_html(F.col("block"), hx.open_tag_with("class", RESULT_TITLE_CLASS, "h3", word=True))
@@ -253,14 +259,13 @@ def result_blocks(pages: DataFrame) -> DataFrame:
     def first_href(html: Column) -> Column:
         return hx.attribute(F.get(hx.elements(html, "a"), 0), "href")
 
-    return block.select("qid", "page_no", "pos", pdf.alias("pdf"), title.alias("title")).select(
-        "qid",
-        "page_no",
-        "pos",
-        hx.text_of(F.col("title")).alias("title"),
-        first_href(F.col("pdf")).alias("pdf_href"),
-        first_href(F.col("title")).alias("title_href"),
+    parts = compute_once(block, place, F.struct(pdf.alias("pdf"), title.alias("title")), "p")
+    links_ = F.struct(
+        hx.text_of(F.col("p.title")).alias("title"),
+        first_href(F.col("p.pdf")).alias("pdf_href"),
+        first_href(F.col("p.title")).alias("title_href"),
     )
+    return compute_once(parts, place, links_, "r").select(*place, "r.title", "r.pdf_href", "r.title_href")
 
 
 def result_list(blocks: DataFrame, limit: int = DEFAULT_RESULTS) -> DataFrame:

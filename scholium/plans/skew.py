@@ -9,36 +9,47 @@ from pyspark.sql import functions as F
 # such keys whatever the data is, so a table with one row per hot key may always be broadcast.
 HOT_SHARE = 20_000
 SPREAD = 4096
+SALTS = 32
 
 
-def lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    key: str,
-    weight: str,
-    spread_by: Sequence[str],
-) -> DataFrame:
-    """Left join of ``rows`` with ``table``, which has one row per non-empty string ``key``.
+def hot_keys(counts: DataFrame, count: str) -> DataFrame:
+    """The rows of ``counts``, one per key, that are hot; at most HOT_SHARE of them."""
+    total = counts.agg(F.sum(count)).scalar()
+    return counts.filter(F.col(count) * HOT_SHARE > total)
+
 
-    ``table[weight]`` is how often the key occurs in ``rows``. Hot keys are joined by broadcast, at
-    most HOT_SHARE of them; the others are shuffled, and no one of them is large. Rows of hot keys
-    travel under spread-out keys that match nothing, so they weigh on no single task.
+def lookup(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, spread_by: Sequence[str]) -> DataFrame:
+    """Left join of ``rows`` with ``table``, which has one row per string ``key``.
+
+    ``hot`` holds the rows of ``table`` whose keys are hot among ``rows``, see ``hot_keys``, and is
+    broadcast. The other keys are shuffled, and no one of them is large. Rows with a hot key or
+    none travel under spread-out keys that match nothing, so they weigh on no single task.
     """
     values = [c for c in table.columns if c != key]
-    total = table.agg(F.sum(weight)).scalar()
-    is_hot = F.col(weight) * HOT_SHARE > total
-    hot = table.filter(is_hot).select(key, F.struct(*values).alias("__hot"))
-    cold = table.filter(~is_hot).select(F.col(key).alias("__key"), F.struct(*values).alias("__cold"))
+    hot = hot.select(key, F.struct(*values).alias("__hot"))
+    cold = table.select(F.col(key).alias("__key"), F.struct(*values).alias("__cold"))
     scattered = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("string"))
+    shuffled = F.col("__hot").isNull() & F.col(key).isNotNull()
     joined = (
         rows.join(F.broadcast(hot), key, "left")
-        .withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(scattered))
+        .withColumn("__key", F.when(shuffled, F.col(key)).otherwise(scattered))
         .join(cold, "__key", "left")
     )
     found = F.coalesce("__hot", "__cold")
     return joined.select(*rows.columns, *[found[v].alias(v) for v in values])
 
 
+def salted_lookup(rows: DataFrame, table: DataFrame, key: str, spread_by: Sequence[str]) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` much smaller than them, one row per ``key``.
+
+    The table is repeated once per salt, so each key's rows are split over SALTS tasks.
+    """
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int").alias("__salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    joined = rows.select("*", salt).join(table.select("*", every), [key, "__salt"])
+    return joined.drop("__salt")
+
+
 def top_n_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread_by: Sequence[str], out: str = "rank"
 ) -> DataFrame:

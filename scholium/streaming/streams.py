@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scholium.operators import retrieve
+from scholium.operators import retrieve, weighting
 from scholium.sources import library_table
 
 # Fixed value: the question that ends a session.
@@ -76,8 +76,10 @@ def stream_questions(
     written to a folder named by its batch.
     """
 
+    frequencies = weighting.document_frequencies(chunks)
+
     def answer(batch: DataFrame, batch_id: int) -> None:
-        hits = retrieve.topk_sparse(askable(batch), chunks, k)
+        hits = retrieve.topk_sparse(askable(batch), chunks, k, frequencies=frequencies)
         hits.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
