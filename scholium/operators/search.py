@@ -10,6 +10,7 @@ from scholium.functions import text as tx
 from scholium.functions.arrays import unnest
 from scholium.operators import weighting
 from scholium.plans import skew
+from scholium.plans.storage import materialize
 
 # Fixed values.
 DEFAULT_RETMAX = 10_000
@@ -77,13 +78,17 @@ def batch_search(
     are then tested on the document itself. So a common word does not pair all of its queries with
     all of its documents. Queries within the bound are broadcast and documents are not shuffled.
     Beyond it the lookup is a salted shuffle join of narrow rows, so that a hot token is spread.
+    The bound is checked by counting the queries; pass them materialized if they are costly.
     """
     need = tx.keyword_tokens(F.col("keyword"))
     longest = F.array_max(F.transform("need", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
     asked = queries.select("qid", need.alias("need")).filter(F.size("need") > 0)
-    asked = asked.select("qid", "need", longest["t"].alias("tok"))
+    asked = asked.select("qid", longest["t"].alias("tok"), "need")
+    asked = asked.select("qid", "tok", F.array_remove("need", F.col("tok")).alias("others"))
     words = docs.select(doc_id, F.array_distinct(tx.tokens(F.col(text))).alias("words"))
-    holds_all = F.size(F.array_except("need", "words")) == 0
+    # Not ``forall``: a join condition with a lambda keeps the join out of generated code, and every
+    # unnested row would then be written out together with its array of words.
+    holds_all = F.size(F.array_intersect("words", "others")) == F.size("others")
 
     if asked.limit(broadcast_queries + 1).count() <= broadcast_queries:
         found = unnest(words, ["*"], F.col("words"), "tok").join(F.broadcast(asked), "tok")
@@ -139,5 +144,6 @@ def question_keywords(questions: DataFrame, corpus: DataFrame, n: int = 5, text:
 def search_by_question(questions: DataFrame, corpus: DataFrame, n: int = 5, doc_id: str = "doc_id") -> DataFrame:
     """``(keyword, doc_id)``: what each generated keyword finds."""
     keywords = question_keywords(questions, corpus, n).select("keyword").distinct()
+    keywords = materialize(keywords, "keywords")
     queries = keywords.select(F.col("keyword").alias("qid"), "keyword")
     return batch_search(queries, corpus, doc_id).withColumnRenamed("qid", "keyword")

@@ -3,11 +3,17 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholium.sources import corpus
+
+# Tables of long texts.
+TEXTS = ("documents", "pages")
+
 TOKENS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return corpus.read_table(spark, path) if name in TEXTS else spark.read.parquet(path)
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:

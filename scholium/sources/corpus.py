@@ -17,6 +17,17 @@ def scan_corpus(spark: SparkSession, path: str, skip_empty: bool = True) -> Data
     return files.filter(F.col("length") > 0) if skip_empty else files
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose rows cost much more to process than to move.
+
+    A table of fewer files than there are cores is spread over all of them. A large table has many
+    files and is read where it lies.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def scan_table(docs: DataFrame) -> DataFrame:
     """The same for a corpus table ``docs(source, text)``: rows that have text."""
     return docs.filter(F.length("text") > 0)
