@@ -144,10 +144,11 @@ def follow_link_hops(
     first = pages.select("url", F.struct("page_id", *found).alias("n")).groupBy("url").agg(F.min("n").alias("n"))
     addresses = materialize(first.select(F.col("url").alias("target"), *[f"n.{name}" for name in names]), "hops")
     for name in names:
+        links = materialize(links.select("page_id", "target"), "links")
         table = addresses.select("target", F.col(name).alias("next")).filter(F.col("next").isNotNull())
         uses = links.filter(F.col("target").isNotNull()).groupBy("target").agg(F.count(F.lit(1)).alias("uses"))
         hot = table.join(F.broadcast(skew.hot_keys(uses, "uses").select("target")), "target")
-        followed = skew.lookup(links, table, hot, "target", ["page_id"])
+        followed = skew.lookup(links, table, hot, "target")
         links = followed.select("page_id", F.col("next").alias("target"))
     return links
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # A key is hot when it has more than one in HOT_SHARE of all rows. There can be at most HOT_SHARE
 # such keys whatever the data is, so a table with one row per hot key may always be broadcast.
 HOT_SHARE = 20_000
-SPREAD = 4096
 SALTS = 32
 
 
@@ -18,25 +17,26 @@ def hot_keys(counts: DataFrame, count: str) -> DataFrame:
     return counts.filter(F.col(count) * HOT_SHARE > total)
 
 
-def lookup(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, spread_by: Sequence[str]) -> DataFrame:
-    """Left join of ``rows`` with ``table``, which has one row per string ``key``.
+def lookup(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, null_keys: bool = True) -> DataFrame:
+    """Left join of stored ``rows`` with ``table``, which has one row per string ``key``.
 
-    ``hot`` holds the rows of ``table`` whose keys are hot among ``rows``, see ``hot_keys``, and is
-    broadcast. The other keys are shuffled, and no one of them is large. Rows with a hot key or
-    none travel under spread-out keys that match nothing, so they weigh on no single task.
+    ``hot`` holds the rows of ``table`` whose keys are hot among ``rows``, see ``hot_keys``. They are
+    joined by broadcast, so most rows of a skewed table are never shuffled for the join. Only rows
+    with other keys are, and no one of those keys is large. Rows without a key meet nothing;
+    ``null_keys`` says whether there can be any. ``rows`` is read once per part; pass a table.
     """
     values = [c for c in table.columns if c != key]
-    hot = hot.select(key, F.struct(*values).alias("__hot"))
-    cold = table.select(F.col(key).alias("__key"), F.struct(*values).alias("__cold"))
-    scattered = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("string"))
-    shuffled = F.col("__hot").isNull() & F.col(key).isNotNull()
-    joined = (
-        rows.join(F.broadcast(hot), key, "left")
-        .withColumn("__key", F.when(shuffled, F.col(key)).otherwise(scattered))
-        .join(cold, "__key", "left")
-    )
-    found = F.coalesce("__hot", "__cold")
-    return joined.select(*rows.columns, *[found[v].alias(v) for v in values])
+    columns = [*rows.columns, *values]
+    hot = F.broadcast(hot.select(*table.columns))
+    keyed = rows.filter(F.col(key).isNotNull())
+    frequent = keyed.join(hot, key).select(*columns)
+    seldom = keyed.join(hot.select(key), key, "left_anti").join(table, key, "left").select(*columns)
+    if not null_keys:
+        return frequent.unionByName(seldom)
+    keyless = rows.filter(F.col(key).isNull())
+    for value in values:
+        keyless = keyless.withColumn(value, F.lit(None).cast(table.schema[value].dataType))
+    return frequent.unionByName(seldom).unionByName(keyless)
 
 
 def salted_lookup(rows: DataFrame, table: DataFrame, key: str, spread_by: Sequence[str]) -> DataFrame:

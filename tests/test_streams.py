@@ -1,0 +1,54 @@
+"""Streams: restarts, replays, late and repeated rows."""
+
+from pyspark.sql import functions as F
+
+from scholium.plans.storage import scratch_path
+from scholium.sources import library_table
+from scholium.streaming import streams
+
+DOCS = "source string, text string"
+
+
+def _land(spark, path, *pairs, schema=DOCS):
+    spark.createDataFrame(list(pairs), schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_ingest_restart_adds_only_new(spark, rows):
+    folder, root, checkpoint = (scratch_path(spark, n) for n in ("in", "lib", "cp"))
+    docs = "source string, text string"
+
+    def run():
+        stream = streams.read_stream(spark, folder, docs, max_files=1)
+        streams.stream_library_ingest(stream, root, "l", checkpoint).awaitTermination()
+        return rows(library_table.load_library(spark, root, "l")[1].select("source", "chunk_no", "text"))
+
+    _land(spark, folder, ("a.txt", "one"), ("b.txt", "two"))
+    assert run() == [("a.txt", 1, "one"), ("b.txt", 1, "two")]
+    assert run() == [("a.txt", 1, "one"), ("b.txt", 1, "two")]
+    _land(spark, folder, ("b.txt", "two"), ("c.txt", "three"), ("c.txt", "three"))
+    assert run() == [("a.txt", 1, "one"), ("b.txt", 1, "two"), ("c.txt", 1, "three")]
+
+
+def test_dedup_across_batches(spark, rows):
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
+    for pairs in ([("a", "x"), ("b", "x"), ("c", "y")], [("d", "y"), ("e", "z")]):
+        _land(spark, folder, *pairs)
+        stream = streams.stream_dedup(streams.read_stream(spark, folder, DOCS))
+        streams.write_table(stream, out, checkpoint).awaitTermination()
+    got = rows(spark.read.parquet(out).select("dockey"))
+    assert got == rows(spark.createDataFrame([("x",), ("y",), ("z",)], "t string").select(F.md5("t")))
+
+
+def test_dedup_with_time(spark):
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
+    schema = "source string, text string, at timestamp"
+    rows = spark.sql("SELECT 'a' AS source, 'x' AS text, timestamp'2024-01-01 00:00:00' AS at UNION ALL SELECT 'b', 'x', timestamp'2024-01-01 00:05:00'")
+    rows.coalesce(1).write.parquet(folder)
+    stream = streams.stream_dedup(streams.read_stream(spark, folder, schema), "at", "1 hour")
+    streams.write_table(stream, out, checkpoint).awaitTermination()
+    assert spark.read.parquet(out).count() == 1
+
+
+def test_askable(spark, rows):
+    df = spark.createDataFrame([(1, "why"), (2, ""), (3, "exit"), (4, None)], "qid long, text string")
+    assert rows(streams.askable(df)) == [(1, "why")]
