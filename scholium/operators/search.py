@@ -1,6 +1,5 @@
 """Finding documents by keyword, type and date."""
 
-from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame

@@ -7,7 +7,7 @@ is added depends on the page's own id; each page is used.
 from pyspark.sql import functions as F
 
 from scholium.operators import acquire, links
-from scholium.registry.tables import ARTIFACTS_SQL, artifacts, ids, table
+from scholium.registry.tables import ARTIFACTS_SQL, artifacts, ids, table, texts
 
 # The same expressions run on both engines.
 LANDING = """
@@ -44,7 +44,7 @@ LAYOUT_HTML = """CASE page_id % 6
 
 
 def _pages(spark, sf, url="url", html="html"):
-    return table(spark, sf, "pages").select("page_id", F.expr(url).alias("url"), F.expr(html).alias("html"))
+    return texts(spark, sf, "pages").select("page_id", F.expr(url).alias("url"), F.expr(html).alias("html"))
 
 
 def _hop_pages(spark, sf):
@@ -83,7 +83,7 @@ def identifier_crosswalk(spark, sf):
 
 
 def extract_main_text(spark, sf):
-    return links.extract_main_text(table(spark, sf, "pages"))
+    return links.extract_main_text(texts(spark, sf, "pages"))
 
 
 def _layouts(spark, sf):
@@ -158,7 +158,7 @@ def _result_pages(spark, sf):
     html = F.when(
         F.col("page_id") % 2 == 0, F.regexp_replace("html", entry, block)
     ).otherwise(F.concat(F.regexp_replace("html", entry, plain), F.lit(table_block)))
-    return table(spark, sf, "pages").select(
+    return texts(spark, sf, "pages").select(
         F.substring_index("url", "/", 3).alias("qid"), F.col("page_id").alias("page_no"), html.alias("html")
     )
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scholium.functions.arrays import unnest
 from scholium.operators import library
 from scholium.plans.storage import scratch_path
-from scholium.registry.tables import CHUNKS_SQL, UNIQUE_SQL, WEIGHTS_SQL, docs, table
+from scholium.registry.tables import CHUNKS_SQL, UNIQUE_SQL, WEIGHTS_SQL, docs, table, texts
 from scholium.sources import library_table
 
 OVERLAP = 100
@@ -50,7 +50,7 @@ def normalize_embeddings(spark, sf):
 def _damaged(spark, sf):
     """Documents of which some short ones cannot be read or are empty."""
     text = F.expr("CASE WHEN n_chars < 300 AND lang = 'fr' THEN NULL WHEN n_chars < 300 AND lang = 'de' THEN '' ELSE text END")
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("source"), text.alias("text"))
+    return texts(spark, sf, "documents").select(F.col("doc_id").alias("source"), text.alias("text"))
 
 
 def quarantine_failures(spark, sf):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import text as tx
 from scholium.operators import search
-from scholium.registry.tables import TOKENS_SQL, questions, table
+from scholium.registry.tables import TOKENS_SQL, questions, table, texts
 
 KEYWORD = "The AND of AND and"
 RETMAX = 25
@@ -20,11 +20,11 @@ def _queries(spark, sf):
 
 
 def _hits(spark, sf):
-    return search.batch_search(_queries(spark, sf), table(spark, sf, "documents"))
+    return search.batch_search(_queries(spark, sf), texts(spark, sf, "documents"))
 
 
 def fielded_search(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     return search.fielded_search(d, tw="the", pt="src3").select("doc_id", "source")
 
 
@@ -35,7 +35,7 @@ def fielded_search_dates(spark, sf):
 
 
 def boolean_keywords(spark, sf):
-    return search.boolean_keywords(table(spark, sf, "documents"), KEYWORD).select("doc_id")
+    return search.boolean_keywords(texts(spark, sf, "documents"), KEYWORD).select("doc_id")
 
 
 def limit_per_query(spark, sf):
@@ -58,11 +58,11 @@ def keyword_hit_counts(spark, sf):
 
 def question_keywords(spark, sf):
     asked = questions(spark, sf).withColumn("text", F.concat("text", F.lit("??")))
-    return search.question_keywords(asked, table(spark, sf, "documents"), TOP_KEYWORDS)
+    return search.question_keywords(asked, texts(spark, sf, "documents"), TOP_KEYWORDS)
 
 
 def search_by_question(spark, sf):
-    found = search.search_by_question(questions(spark, sf), table(spark, sf, "documents"), TOP_KEYWORDS)
+    found = search.search_by_question(questions(spark, sf), texts(spark, sf, "documents"), TOP_KEYWORDS)
     return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 

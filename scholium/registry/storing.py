@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scholium.functions import text as tx
 from scholium.operators import library
 from scholium.plans.storage import scratch_path
-from scholium.registry.tables import CHUNKS_SQL, docs, ids, table
+from scholium.registry.tables import CHUNKS_SQL, docs, table
 from scholium.sources import corpus, id_lists, library_table
 
 

@@ -5,19 +5,20 @@ from pyspark.sql import functions as F
 
 from scholium.sources import corpus
 
-# Tables of long texts.
-TEXTS = ("documents", "pages")
-
 TOKENS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    path = f"{sf}/{name}.parquet"
-    return corpus.read_table(spark, path) if name in TEXTS else spark.read.parquet(path)
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose long texts are worked on."""
+    return corpus.read_table(spark, f"{sf}/{name}.parquet")
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("source"), "text")
+    return texts(spark, sf, "documents").select(F.col("doc_id").alias("source"), "text")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

@@ -38,14 +38,18 @@ def stream_library_ingest(docs: DataFrame, root: str, name: str, checkpoint: str
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_dedup(docs: DataFrame, by_time: str | None = None, delay: str = "1 day") -> DataFrame:
+def stream_dedup(
+    docs: DataFrame, by_time: str | None = None, delay: str = "1 day", spread_by: str = "source"
+) -> DataFrame:
     """``(dockey[, time])``: the key of each text that has not been seen before.
 
     Only keys are shuffled and kept as state. Copies are dropped per (key, salt) first, so the
-    copies of one text meet in many tasks, and at most one row per salt goes on. With a time column the state is
-    bounded by the watermark.
+    copies of one text meet in many tasks, and at most one row per salt goes on. The salt comes from
+    the ``spread_by`` column, so that a task that runs again sends each row where it went before.
+    With a time column the state is bounded by the watermark.
     """
-    keys = docs.select(F.md5("text").alias("dockey"), *([by_time] if by_time else []), F.pmod(F.xxhash64("text", F.rand()), F.lit(SALTS)).alias("salt"))
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).alias("salt")
+    keys = docs.select(F.md5("text").alias("dockey"), salt, *([by_time] if by_time else []))
     if by_time is None:
         return keys.dropDuplicates(["dockey", "salt"]).select("dockey").dropDuplicates(["dockey"])
     keys = keys.withWatermark(by_time, delay)

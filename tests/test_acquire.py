@@ -56,7 +56,7 @@ def test_abstracts_match_by_id(spark, rows):
 def test_number_rows(spark):
     keys = random.Random(1).sample(range(-500, 5000), 300)
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    got = {r.k: r.row_no for r in skew.number_rows(df, "k", width=64).collect()}
+    got = {r.k: r.row_no for r in skew.number_rows(df, "k", range_bits=6).collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}
 
 
