@@ -1,9 +1,16 @@
-"""Unnesting of computed arrays."""
+"""Unnesting of computed arrays, and naming of computed values."""
+
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def compute_once(df: DataFrame, keep: list, value: Column, out: str) -> DataFrame:
     """``keep`` columns and ``out``, an expensive ``value`` that is not to be evaluated again.
 

@@ -8,6 +8,8 @@ quantifiers, so a malformed page costs linear time.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scholium.functions.arrays import bind
+
 # Named character references that are decoded ("&amp;" last).
 ENTITIES = {
     "&nbsp;": " ",
@@ -64,9 +66,9 @@ def tag_name(element: Column) -> Column:
 
 def attribute(element: Column, name: str) -> Column:
     """Decoded attribute value of one opening tag; null when it is missing or empty."""
-    pattern = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    quoted, single, bare = (F.regexp_extract(element, pattern, group) for group in (1, 2, 3))
-    return F.nullif(decode_entities(F.concat(quoted, single, bare)), F.lit(""))
+    pattern = rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    value = F.regexp_replace(F.regexp_extract(element, pattern, 1), "^[\"']|[\"']$", "")
+    return F.nullif(decode_entities(value), F.lit(""))
 
 
 def inner_html(html: Column, opening: str) -> Column:
@@ -76,16 +78,22 @@ def inner_html(html: Column, opening: str) -> Column:
     tells which of them closes the element. An element that is never closed reaches to the end;
     null when there is no such element.
     """
-    first = F.regexp_substr(html, F.lit(opening))
-    name = tag_name(first)
-    after = F.substr(html, F.position(first, html) + F.length(first))
-    edge = F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"(?=[\s/>]))"))
-    pieces = F.split(after, edge)
 
+    def cut(source: Column, first: Column) -> Column:
+        name = tag_name(first)
+        after = F.substr(source, F.position(first, source) + F.length(first))
+        edge = F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"(?=[\s/>]))"))
+        return bind(F.split(after, edge), lambda pieces: _until_closed(pieces, name))
+
+    return bind(html, lambda h: bind(F.regexp_substr(h, F.lit(opening)), lambda first: cut(h, first)))
+
+
+def _until_closed(pieces: Column, name: Column) -> Column:
     def step(acc, piece):
         closes = piece.startswith("</")
         opens = F.startswith(F.lower(F.left(piece, F.lit(24))), F.concat(F.lit("<"), name))
-        depth = acc["depth"] + F.when(closes, -1).when(opens, 1).otherwise(0)
+        change = F.when(closes, -1).when(opens, 1).otherwise(0)
+        depth = acc["depth"] + change
         return F.when(acc["depth"] == 0, acc).otherwise(
             F.struct(
                 depth.alias("depth"),

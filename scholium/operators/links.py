@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import html as hx
 from scholium.functions import urls
-from scholium.functions.arrays import compute_once, unnest
+from scholium.functions.arrays import bind, compute_once, unnest
 from scholium.plans import skew
 from scholium.plans.storage import materialize
 
@@ -57,6 +57,16 @@ class LinkRule:
     base: str | None = None
     ignore_case: bool = False
 
+    def _may_match(self, element: Column) -> Column:
+        """A cheap test that all matching elements pass, to be made before attributes are read."""
+        plain = [n for n in self.needles if not set(n) & set("&<>\"'")]
+        if len(plain) < len(self.needles):
+            return F.lit(True)
+        held = F.lit(False)
+        for needle in plain:
+            held = held | F.contains(F.lower(element), F.lit(needle.lower()))
+        return held
+
     def test(self, element: Column) -> Column:
         value = hx.attribute(element, self.attribute)
         value = F.lower(value) if self.ignore_case else value
@@ -67,7 +77,7 @@ class LinkRule:
             hit = tests[0]
             for test in tests[1:]:
                 hit = hit & test if self.match == "all" else hit | test
-        return (hx.tag_name(element) == self.tag) & hit
+        return self._may_match(element) & (hx.tag_name(element) == self.tag) & hit
 
     def link(self, element: Column, page_url: Column) -> Column:
         value = hx.attribute(element, self.take)
@@ -97,14 +107,13 @@ def resolve_fulltext_link(pages: DataFrame, rules: Sequence[LinkRule] = DEFAULT_
     tags = sorted({rule.tag for rule in rules})
     elements = hx.elements(hx.strip_hidden(F.col("html")), *tags)
 
+    def by_rule(number: int, rule: LinkRule, element: Column, pos: Column) -> Column:
+        target = F.when(rule.test(element), F.trim(rule.link(element, F.col("url"))))
+        place = (F.lit(number).alias("rule_no"), pos.alias("pos"))
+        return bind(target, lambda t: F.when(t.isNotNull(), F.struct(*place, t.alias("target"))))
+
     def candidate(element: Column, pos: Column) -> Column:
-        cases = None
-        for number, rule in enumerate(rules, 1):
-            target = F.trim(rule.link(element, F.col("url")))
-            row = F.struct(F.lit(number).alias("rule_no"), pos.alias("pos"), target.alias("target"))
-            hit = rule.test(element) & target.isNotNull()
-            cases = F.when(hit, row) if cases is None else cases.when(hit, row)
-        return cases
+        return F.coalesce(*[by_rule(number, rule, element, pos) for number, rule in enumerate(rules, 1)])
 
     best = F.array_min(F.transform(elements, candidate))
     return compute_once(pages, ["page_id"], best, "best").select("page_id", "best.rule_no", "best.target")
@@ -212,7 +221,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     column = read(hx.open_tag_with("id", COLUMN_ID))
 
     def found(name: str, text: Column) -> Column:
-        return F.when(text.isNotNull(), F.struct(F.lit(name).alias("extractor"), text.alias("text")))
+        return bind(text, lambda t: F.when(t.isNotNull(), F.struct(F.lit(name).alias("extractor"), t.alias("text"))))
 
     chosen = (
         F.when(is_pdf, F.lit(None))

@@ -128,8 +128,9 @@ def keyword_hit_counts(queries: DataFrame, hits: DataFrame) -> DataFrame:
 def question_keywords(questions: DataFrame, corpus: DataFrame, n: int = 5, text: str = "text") -> DataFrame:
     """``(qid, rank, keyword, weight)``: the ``n`` tokens of each question that tell most."""
     clean = questions.select("qid", tx.strip_question_marks(F.col("text")).alias("text"))
-    frequencies = weighting.document_frequencies(corpus.select(F.col(text).alias("text")))
-    weights = weighting.weighted_foreign(weighting.postings(clean, ["qid"]), frequencies, ["qid"])
+    posts = weighting.postings(clean, ["qid"])
+    frequencies = weighting.frequencies_for(posts, corpus.select(F.col(text).alias("text")))
+    weights = weighting.weighted_foreign(posts, frequencies, ["qid"])
     ranked = skew.top_n_per_key(
         weights.select("qid", F.col("tok").alias("keyword"), F.round("w", 6).alias("weight")),
         ["qid"],
