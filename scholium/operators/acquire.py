@@ -23,10 +23,11 @@ ABSTRACTS_PER_BATCH = 1000
 def pending_ids(ids: DataFrame, artifacts: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """Ids without an artifact of one of ``kinds``.
 
-    Artifacts shrink to distinct ids before the shuffle, however many one id has.
+    Artifacts shrink to distinct ids before the shuffle, however many one id has. Id lists may
+    hold one id any number of times.
     """
     done = artifacts.filter(F.col("kind").isin(*kinds)).select("pmid").distinct()
-    return ids.join(done, "pmid", "left_anti")
+    return skew.membership(ids, done, "pmid", "left_anti")
 
 
 def route_identifiers(df: DataFrame, col: str = "identifier") -> DataFrame:
@@ -94,16 +95,16 @@ def backfill_abstracts(
 
 def acquisition_report(ids: DataFrame, artifacts: DataFrame) -> DataFrame:
     """``(pmid, status)``, ``done`` or ``failed``, one row per id."""
-    done = artifacts.select("pmid").distinct().withColumn("status", F.lit("done"))
-    return ids.join(done, "pmid", "left").select("pmid", F.coalesce("status", F.lit("failed")).alias("status"))
+    done = done_ids(ids, artifacts).withColumn("status", F.lit("done"))
+    return done.unionByName(failed_ids(ids, artifacts).withColumn("status", F.lit("failed")))
 
 
 def failed_ids(ids: DataFrame, artifacts: DataFrame) -> DataFrame:
-    return ids.join(artifacts.select("pmid").distinct(), "pmid", "left_anti").select("pmid")
+    return skew.membership(ids, artifacts.select("pmid").distinct(), "pmid", "left_anti").select("pmid")
 
 
 def done_ids(ids: DataFrame, artifacts: DataFrame) -> DataFrame:
-    return ids.join(artifacts.select("pmid").distinct(), "pmid", "left_semi").select("pmid")
+    return skew.membership(ids, artifacts.select("pmid").distinct(), "pmid", "left_semi").select("pmid")
 
 
 def content_key(df: DataFrame, content: str = "content", url: str = "url") -> DataFrame:

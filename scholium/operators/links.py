@@ -155,8 +155,7 @@ def follow_link_hops(
     for name in names:
         links = materialize(links.select("page_id", "target"), "links")
         table = addresses.select("target", F.col(name).alias("next")).filter(F.col("next").isNotNull())
-        uses = links.filter(F.col("target").isNotNull()).groupBy("target").agg(F.count(F.lit(1)).alias("uses"))
-        hot = table.join(F.broadcast(skew.hot_keys(uses, "uses").select("target")), "target")
+        hot = table.join(F.broadcast(skew.frequent_keys(links, "target")), "target", "left_semi")
         followed = skew.lookup(links, table, hot, "target")
         links = followed.select("page_id", F.col("next").alias("target"))
     return links

@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholium.plans.storage import materialize
+
 # A key is hot when it has more than one in HOT_SHARE of all rows. There can be at most HOT_SHARE
 # such keys whatever the data is, so a table with one row per hot key may always be broadcast.
 HOT_SHARE = 20_000
@@ -17,6 +19,31 @@ def hot_keys(counts: DataFrame, count: str) -> DataFrame:
     return counts.filter(F.col(count) * HOT_SHARE > total)
 
 
+def frequent_keys(rows: DataFrame, key: str, share: float = 0.001) -> DataFrame:
+    """Every key that has more than ``share`` of the rows, among at most ``1 / share`` keys in all.
+
+    Found in one pass that keeps a few counters per task; no key is shuffled. The result may name
+    some rarer keys too, and not the same ones each time, so it is written before it is used.
+    """
+    items = rows.select(key).stat.freqItems([key], share)
+    found = items.select(F.explode_outer(f"{key}_freqItems").alias(key)).filter(F.col(key).isNotNull())
+    return materialize(found.distinct(), "frequent")
+
+
+def membership(rows: DataFrame, members: DataFrame, key: str, how: str) -> DataFrame:
+    """``left_semi`` or ``left_anti`` join of ``rows``, in which one key may repeat very often, with
+    ``members``, which has one row per key.
+
+    Rows with a frequent key stay where they are and meet the few members of such keys by
+    broadcast; only the others are shuffled.
+    """
+    hot = F.broadcast(frequent_keys(rows, key))
+    hot_members = members.join(hot, key, "left_semi")
+    frequent = rows.join(hot, key, "left_semi").join(F.broadcast(hot_members), key, how)
+    seldom = rows.join(hot, key, "left_anti").join(members, key, how)
+    return frequent.unionByName(seldom)
+
+
 def lookup(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, null_keys: bool = True) -> DataFrame:
     """Left join of stored ``rows`` with ``table``, which has one row per string ``key``.
 

@@ -60,6 +60,17 @@ def test_unit_length_only_where_asked(spark):
     assert library.normalize_embeddings(df, "hkunlp/instructor-xl").head().embedding == [0.6, 0.8]
 
 
+def test_membership_equals_join(spark, rows):
+    keys = F.when(F.col("id") % 3 < 2, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50))
+    data = spark.range(600).select("id", keys.alias("k"))
+    for members in (["hot"] + [f"k{i}" for i in range(0, 50, 2)], ["k1", "k2"]):
+        table = spark.createDataFrame([(k,) for k in members], "k string")
+        for how in ("left_semi", "left_anti"):
+            assert rows(skew.membership(data, table, "k", how)) == rows(data.join(table, "k", how).select("k", "id"))
+    frequent = rows(skew.frequent_keys(data, "k", 0.25))
+    assert ("hot",) in frequent and len(frequent) <= 4
+
+
 @pytest.mark.parametrize("share", [2, 20_000])
 def test_lookup_equals_left_join(spark, rows, monkeypatch, share):
     monkeypatch.setattr(skew, "HOT_SHARE", share)
