@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 # Fixed value: how a pdf file starts.
 PDF_MAGIC = "%PDF"
 
+# Most bytes per core that are moved to make use of all cores.
+SPREAD_BYTES = 16 << 20
+
 
 def scan_corpus(spark: SparkSession, path: str, skip_empty: bool = True) -> DataFrame:
     """``files(source, length, content)``: a file, or the files directly inside a folder.
@@ -20,12 +23,16 @@ def scan_corpus(spark: SparkSession, path: str, skip_empty: bool = True) -> Data
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table whose rows cost much more to process than to move.
 
-    A table of fewer files than there are cores is spread over all of them. A large table has many
-    files and is read where it lies.
+    A small table in fewer files than there are cores is spread over all of them. Anything larger
+    is read where it lies, whatever its number of files.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).head()[0]
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
 def scan_table(docs: DataFrame) -> DataFrame:
