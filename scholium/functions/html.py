@@ -10,17 +10,36 @@ from pyspark.sql import functions as F
 
 from scholium.functions.arrays import bind
 
-# Named character references that are decoded ("&amp;" last).
+# Named character references that are decoded.
 ENTITIES = {
-    "&nbsp;": " ",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&#39;": "'",
-    "&middot;": "·",
-    "&copy;": "©",
-    "&amp;": "&",
+    "amp": "&",
+    "nbsp": " ",
+    "lt": "<",
+    "gt": ">",
+    "quot": '"',
+    "apos": "'",
+    "middot": "·",
+    "copy": "©",
+    "reg": "®",
+    "trade": "™",
+    "deg": "°",
+    "plusmn": "±",
+    "times": "×",
+    "micro": "µ",
+    "le": "≤",
+    "ge": "≥",
+    "ndash": "–",
+    "mdash": "—",
+    "hellip": "…",
+    "lsquo": "‘",
+    "rsquo": "’",
+    "ldquo": "“",
+    "rdquo": "”",
+    "alpha": "α",
+    "beta": "β",
+    "gamma": "γ",
+    "delta": "δ",
+    "mu": "μ",
 }
 
 # Elements that start a new line when a page is shown.
@@ -38,10 +57,35 @@ def strip_hidden(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
 
 
+# One literal, so that the plan stays small however often text is decoded.
+_ENTITY_LIST = "\n".join(f"{name}\t{char}" for name, char in ENTITIES.items())
+_REFERENCE = "^&([A-Za-z]{2,8}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+
+
+def _character(name: Column) -> Column:
+    """The character of a reference such as ``amp``, ``#38`` or ``#x26``; null when there is none."""
+    decimal = F.when(F.substring(name, 2, 1).isin("x", "X"), F.conv(F.substring(name, 3, 6), 16, 10))
+    decimal = decimal.otherwise(F.substring(name, 2, 7)).cast("int")
+    valid = decimal.between(1, 0xD7FF) | decimal.between(0xE000, 0x10FFFF)
+    number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(decimal), 8, "0")), "UTF-32"))
+    named = F.str_to_map(F.lit(_ENTITY_LIST), F.lit("\n"), F.lit("\t"))
+    return F.when(name.startswith("#"), number).otherwise(F.try_element_at(named, name))
+
+
+def _decode_first(piece: Column) -> Column:
+    """Decode the reference that ``piece`` starts with; unknown ones stay."""
+
+    def write(name: Column) -> Column:
+        rest = F.substr(piece, F.length(name) + 3)
+        return F.coalesce(F.concat(_character(name), rest), piece)
+
+    return bind(F.regexp_extract(piece, _REFERENCE, 1), write)
+
+
 def decode_entities(text: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Decode character references, each once; text without an ampersand is left alone."""
+    pieces = F.transform(F.split(text, "(?=&)"), _decode_first)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def open_tag(*names: str) -> str:
@@ -65,10 +109,10 @@ def tag_name(element: Column) -> Column:
 
 
 def attribute(element: Column, name: str) -> Column:
-    """Decoded attribute value of one opening tag; null when it is missing or empty."""
+    """Attribute value of one opening tag, as written; null when it is missing or empty."""
     pattern = rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
     value = F.regexp_replace(F.regexp_extract(element, pattern, 1), "^[\"']|[\"']$", "")
-    return F.nullif(decode_entities(value), F.lit(""))
+    return bind(value, lambda v: F.when(v != "", v))
 
 
 def inner_html(html: Column, opening: str) -> Column:
@@ -110,5 +154,5 @@ def text_of(html: Column) -> Column:
     """Visible text on one line: block tags separate words, other tags vanish."""
     blocks = "|".join(BLOCK_TAGS)
     html = F.regexp_replace(html, rf"(?i)</?(?:{blocks})(?=[\s/>])[^>]*>", " ")
-    html = F.regexp_replace(html, r"<[^>]*>", "")
-    return F.trim(F.regexp_replace(decode_entities(html), r"\s+", " "))
+    plain = bind(F.regexp_replace(html, r"<[^>]*>", ""), decode_entities)
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))

@@ -32,11 +32,10 @@ def extract_links(pages: DataFrame) -> DataFrame:
     found = hx.elements(hx.strip_hidden(F.col("html")), *LINK_TAGS)
     exploded = unnest(pages, ["page_id"], found, "element", "pos")
     element = F.col("element")
-    return exploded.select(
-        "page_id",
-        "pos",
-        hx.tag_name(element).alias("tag"),
-        *[hx.attribute(element, attr).alias(out) for out, attr in LINK_ATTRIBUTES.items()],
+    values = F.transform(F.array(*[hx.attribute(element, attr) for attr in LINK_ATTRIBUTES.values()]), hx.decode_entities)
+    read = compute_once(exploded, ["page_id", "pos", hx.tag_name(element).alias("tag")], values, "v")
+    return read.select(
+        "page_id", "pos", "tag", *[F.get("v", F.lit(i)).alias(out) for i, out in enumerate(LINK_ATTRIBUTES)]
     )
 
 
@@ -98,31 +97,42 @@ DEFAULT_RULES = (
 )
 
 
-def resolve_fulltext_link(pages: DataFrame, rules: Sequence[LinkRule] = DEFAULT_RULES) -> DataFrame:
-    """``(page_id, rule_no, target)``: the first rule that matches, at its first match on the page.
+def fulltext_link(url: Column, html: Column, rules: Sequence[LinkRule] = DEFAULT_RULES) -> Column:
+    """``struct<rule_no, pos, target>``: the first rule that matches, at its first match on the page.
 
-    The lowest (rule, position) of a page is found inside its row, so nothing is shuffled. Pages
-    without a match keep nulls.
+    ``html`` is free of hidden parts. Null when no rule matches.
     """
-    tags = sorted({rule.tag for rule in rules})
-    elements = hx.elements(hx.strip_hidden(F.col("html")), *tags)
+    elements = hx.elements(html, *sorted({rule.tag for rule in rules}))
 
     def by_rule(number: int, rule: LinkRule, element: Column, pos: Column) -> Column:
-        target = F.when(rule.test(element), F.trim(rule.link(element, F.col("url"))))
+        target = F.when(rule.test(element), rule.link(element, url))
         place = (F.lit(number).alias("rule_no"), pos.alias("pos"))
         return bind(target, lambda t: F.when(t.isNotNull(), F.struct(*place, t.alias("target"))))
 
     def candidate(element: Column, pos: Column) -> Column:
         return F.coalesce(*[by_rule(number, rule, element, pos) for number, rule in enumerate(rules, 1)])
 
-    best = F.array_min(F.transform(elements, candidate))
+    def decoded(best: Column) -> Column:
+        target = F.trim(hx.decode_entities(best["target"])).alias("target")
+        return F.when(best.isNotNull(), F.struct(best["rule_no"].alias("rule_no"), best["pos"].alias("pos"), target))
+
+    return bind(F.array_min(F.transform(elements, candidate)), decoded)
+
+
+def resolve_fulltext_link(pages: DataFrame, rules: Sequence[LinkRule] = DEFAULT_RULES) -> DataFrame:
+    """``(page_id, rule_no, target)``, nulls for pages without a match.
+
+    The lowest (rule, position) of a page is found inside its row, so nothing is shuffled.
+    """
+    best = fulltext_link(F.col("url"), hx.strip_hidden(F.col("html")), rules)
     return compute_once(pages, ["page_id"], best, "best").select("page_id", "best.rule_no", "best.target")
 
 
 def embedded_target(pages: DataFrame) -> DataFrame:
     """``(page_id, target)``: the decoded value of the first input element; null when there is none."""
     first = F.get(hx.elements(hx.strip_hidden(F.col("html")), "input"), 0)
-    return pages.select("page_id", urls.percent_decode(hx.attribute(first, "value")).alias("target"))
+    value = bind(hx.attribute(first, "value"), hx.decode_entities)
+    return pages.select("page_id", urls.percent_decode(value).alias("target"))
 
 
 # How the next address is read off a page: (tag, attribute that selects, its value, attribute taken).
@@ -135,7 +145,7 @@ def _next_link(html: Column, step: tuple) -> Column:
     found = hx.elements(hx.strip_hidden(html), tag)
     if attribute is not None:
         found = F.filter(found, lambda e: hx.attribute(e, attribute) == value)
-    return hx.attribute(F.get(found, 0), take)
+    return bind(hx.attribute(F.get(found, 0), take), hx.decode_entities)
 
 
 def follow_link_hops(
@@ -174,7 +184,7 @@ def identifier_crosswalk(pages: DataFrame) -> DataFrame:
     def first_text(opening: str) -> Column:
         pattern = F.lit(f"{opening}([^<]*)")
         found = F.regexp_extract_all(html, pattern, F.lit(1))
-        return _strip(hx.decode_entities(F.get(found, 0)))
+        return _strip(bind(F.get(found, 0), hx.decode_entities))
 
     doi = first_text(hx.open_tag_with("class", DOI_CLASS, "span", word=True))
     kept = F.greatest(F.length(doi) - (DOI_LEAD + DOI_TAIL), F.lit(0))
@@ -196,41 +206,51 @@ HEADER_BODY_MARK = "jbc"
 HEADER_ID, BODY_CLASS, COLUMN_ID = "articleHeader", "article__body", "ContentColumn"
 
 
-def extract_main_text(pages: DataFrame) -> DataFrame:
-    """``(page_id, text, extractor, status)``.
+def main_text(url: Column, html: Column) -> Column:
+    """``struct<extractor, text>``, null where there is no text. ``html`` is free of hidden parts.
 
     The address decides: a pdf has no text here, two publishers have a layout of their own, all
-    others are read from ``article`` or else from the content column. ``status`` is ``ok``,
-    ``pdf`` or ``html_error``.
+    others are read from ``article`` or else from the content column.
     """
-    url = F.col("url")
-    clean = pages.select("page_id", "url", hx.strip_hidden(F.col("html")).alias("html"))
-    html = F.col("html")
-    is_pdf = F.contains(url, F.lit(PDF_MARK))
     article_only = F.contains(url, F.lit(ARTICLE_ONLY_MARK))
     header_body = F.contains(url, F.lit(HEADER_BODY_MARK)) & ~article_only
 
-    def read(opening: str) -> Column:
-        return hx.text_of(hx.inner_html(html, opening))
+    def found(name: str, *openings: str) -> Column:
+        """The named extractor with the parts of the page it reads; null unless all are there."""
+        parts = F.array(*[hx.inner_html(html, opening) for opening in openings])
+        whole = lambda p: F.when(~F.array_contains(F.transform(p, F.isnull), True), p)
+        row = lambda p: F.when(p.isNotNull(), F.struct(F.lit(name).alias("extractor"), p.alias("parts")))
+        return bind(bind(parts, whole), row)
 
-    article = read(hx.open_tag("article"))
-    both = F.concat(
-        read(hx.open_tag_with("id", HEADER_ID)), read(hx.open_tag_with("class", BODY_CLASS, word=True))
-    )
-    column = read(hx.open_tag_with("id", COLUMN_ID))
-
-    def found(name: str, text: Column) -> Column:
-        return bind(text, lambda t: F.when(t.isNotNull(), F.struct(F.lit(name).alias("extractor"), t.alias("text"))))
+    def shown(c: Column) -> Column:
+        text = F.array_join(F.transform(c["parts"], hx.text_of), "")
+        return F.when(c.isNotNull(), F.struct(c["extractor"].alias("extractor"), text.alias("text")))
 
+    article = found("article", hx.open_tag("article"))
+    both = found("header_body", hx.open_tag_with("id", HEADER_ID), hx.open_tag_with("class", BODY_CLASS, word=True))
+    column = found("content_column", hx.open_tag_with("id", COLUMN_ID))
     chosen = (
-        F.when(is_pdf, F.lit(None))
-        .when(header_body, found("header_body", both))
-        .when(article_only, found("article", article))
-        .otherwise(F.coalesce(found("article", article), found("content_column", column)))
+        F.when(is_pdf(url), F.lit(None))
+        .when(header_body, both)
+        .when(article_only, article)
+        .otherwise(F.coalesce(article, column))
     )
-    status = F.when(is_pdf, "pdf").when(F.col("c").isNull(), "html_error").otherwise("ok")
-    return compute_once(clean, ["page_id", "url"], chosen, "c").select(
-        "page_id", "c.text", "c.extractor", status.alias("status")
+    return bind(chosen, shown)
+
+
+def is_pdf(url: Column) -> Column:
+    return F.contains(url, F.lit(PDF_MARK))
+
+
+def text_status(url: Column, found: Column) -> Column:
+    return F.when(is_pdf(url), "pdf").when(found.isNull(), "html_error").otherwise("ok")
+
+
+def extract_main_text(pages: DataFrame) -> DataFrame:
+    """``(page_id, text, extractor, status)`` with status ``ok``, ``pdf`` or ``html_error``."""
+    found = bind(hx.strip_hidden(F.col("html")), lambda html: main_text(F.col("url"), html))
+    return compute_once(pages, ["page_id", "url"], found, "c").select(
+        "page_id", "c.text", "c.extractor", text_status(F.col("url"), F.col("c")).alias("status")
     )
 
 
@@ -266,7 +286,7 @@ def result_blocks(pages: DataFrame) -> DataFrame:
     title = hx.inner_html(F.col("block"), hx.open_tag_with("class", RESULT_TITLE_CLASS, "h3", word=True))
 
     def first_href(html: Column) -> Column:
-        return hx.attribute(F.get(hx.elements(html, "a"), 0), "href")
+        return bind(hx.attribute(F.get(hx.elements(html, "a"), 0), "href"), hx.decode_entities)
 
     parts = compute_once(block, place, F.struct(pdf.alias("pdf"), title.alias("title")), "p")
     links_ = F.struct(

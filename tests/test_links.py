@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from scholium.functions import html as hx
 from scholium.functions import urls
 from scholium.operators import links
+from scholium.plans import jobs
 
 URL = "https://journal.example.org/article/1"
 
@@ -125,6 +126,24 @@ def test_absolute_href(spark, href, want):
     assert spark.range(1).select(urls.absolute_href(F.lit("https://h.org"), F.lit(href))).head()[0] == want
 
 
+def test_read_pages(spark, rows):
+    pages = _pages(
+        spark,
+        ("https://o.org/1", '<article>t &#233;&#x3b1;&ndash;&#0;&#99999999;&amp;lt;</article><a href="/doi/pdf/1">p</a>'),
+        ("https://o.org/a.pdf", "<a href='/doi/pdf/2'>p</a>"),
+        ("https://ovid.org/3", "<article>t</article>"),
+        ("https://o.org/4", "<p>x</p>"),
+    )
+    read = jobs.read_pages(pages)
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    assert rows(read.select("page_id", "target", "text", "extractor", "status")) == [
+        (0, "https://o.org/doi/pdf/1", "t éα–&#0;&#99999999;&lt;", "article", "ok"),
+        (1, "https://o.org/doi/pdf/2", None, None, "pdf"),
+        (2, None, None, None, "blocked"),
+        (3, None, None, None, "html_error"),
+    ]
+
+
 def test_attribute_forms(spark):
     cases = [("<a href='x'>", "x"), ("<a\nHREF = x>", "x"), ('<a data-href="y">', None), ('<a href="">', None)]
     df = spark.createDataFrame([(c[0],) for c in cases], "e string")
