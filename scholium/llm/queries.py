@@ -3,7 +3,14 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import fingerprints, sharding
+from scholium.llm import exact_dedup, fingerprints, packing, sharding, token_counts
+
+
+def _vocabulary(name: str) -> str:
+    """Where the executors have a public tokenizer; the package is installed with Python on all of them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,6 +33,12 @@ def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.find_copies(_documents(spark, sf)).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_bytes"
+    )
+
+
 def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
     placed = sharding.shard_by_bytes(_documents(spark, sf), 16)
     return placed.select(
@@ -39,9 +52,31 @@ def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf), _vocabulary("word_bpe_49k.json"))
+
+
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    counted = token_counts.count_tokens(_documents(spark, sf), _vocabulary("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_exact_dedup": op2_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op8_packing": op8_packing,
+    "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+# Without SQL, and tested against plain Python instead: hashes or checksums that SQL lacks (1, 5),
+# learned or random results (3, 6, 7, 10), tokenizer libraries (8, 9).
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": """
+        WITH t AS (
+          SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s
+          FROM documents)
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = max(doc_id) OVER g AS kept, sha256(s) AS text_sha256, CAST(strlen(s) AS BIGINT) AS n_bytes
+        FROM t WINDOW g AS (PARTITION BY s)""",
+}
