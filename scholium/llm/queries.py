@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import exact_dedup, fingerprints, packing, sharding, token_counts
+from scholium.llm import exact_dedup, fingerprints, mixing, packing, sharding, token_counts, toxicity
+from scholium.llm.shared import id_hash_mod
 
 
 def _vocabulary(name: str) -> str:
@@ -52,6 +53,25 @@ def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix_documents(_documents(spark, sf), (1, 2, 3), 3.0)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def toxicity_model(spark: SparkSession, sf: str, docs: DataFrame):
+    """Fitted on labelled rows whose id hashes to 1 to 4 modulo 5."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(id_hash_mod("doc_id", 5) != 0)
+    labels = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    return toxicity.fit(toxicity.labelled_sample(docs, labels, toxicity.SAMPLE_PER_CLASS))
+
+
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    rows = docs.select("doc_id", (id_hash_mod("doc_id", 5) == 0).alias("held_out"), "text")
+    scored = toxicity.score(rows, toxicity_model(spark, sf, docs))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf), _vocabulary("word_bpe_49k.json"))
 
@@ -65,6 +85,8 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
 }
