@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import exact_dedup, fingerprints, mixing, packing, sharding, token_counts, toxicity
+from scholium.llm import exact_dedup, fingerprints, language, mixing, packing, sharding, token_counts, toxicity
 from scholium.llm.shared import id_hash_mod
 
 
@@ -40,6 +40,13 @@ def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf).withColumn("held_out", id_hash_mod("doc_id", 4) == 2)
+    network = language.fit(language.labelled_sample(docs.filter("NOT held_out")))
+    found = language.predict(docs.select("doc_id", "held_out", "text"), network)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
     placed = sharding.shard_by_bytes(_documents(spark, sf), 16)
     return placed.select(
@@ -84,6 +91,7 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language": op3_language,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
