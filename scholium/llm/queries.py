@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import exact_dedup, fingerprints, language, mixing, packing, sharding, token_counts, toxicity
+from scholium.llm import exact_dedup, fingerprints, language, language_model, mixing, packing, sharding, token_counts, toxicity
 from scholium.llm.shared import id_hash_mod
 
 
@@ -88,6 +88,13 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op10_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = id_hash_mod("doc_id", 7) == 2
+    docs = _documents(spark, sf).withColumn("held_out", held_out)
+    scored = language_model.train_and_score(docs, "NOT held_out")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
@@ -97,6 +104,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_language_model": op10_language_model,
 }
 
 # Without SQL, and tested against plain Python instead: hashes or checksums that SQL lacks (1, 5),
