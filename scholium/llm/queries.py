@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import exact_dedup, fingerprints, language, language_model, mixing, packing, sharding, token_counts, toxicity
+from scholium.llm import exact_dedup, fingerprints, language, language_model, mixing, ngram_join, packing, sharding, token_counts, toxicity
 from scholium.llm.shared import id_hash_mod
 
 
@@ -47,6 +47,10 @@ def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.link_documents(_documents(spark, sf)).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
     placed = sharding.shard_by_bytes(_documents(spark, sf), 16)
     return placed.select(
@@ -99,6 +103,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language": op3_language,
+    "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
