@@ -67,7 +67,7 @@ def frequency_levels(docs: DataFrame, width: int = WIDTH, bits: int = SKETCH_BIT
 
 
 def prefixes(rows: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``(id, mark, set_key, n, group_key, prefix)`` from ``rows(id, mark, text)``.
+    """``(id, mark, set_key, n, group_key, prefix, tag)`` from ``rows(id, mark, text, tag)``.
 
     ``set_key`` is a hash of the whole set. ``prefix`` holds the rarest shingles, so many that two
     sets that are similar enough share one; each task gives it once for equal sets. ``group_key``
@@ -98,10 +98,10 @@ def prefixes(rows: DataFrame, levels: np.ndarray, width: int, percent: int) -> D
                     found.append(None if key in given else prefix.view(np.int64))
                     given.add(key)
             columns = [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())]
-            columns += [pa.array(groups, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "set_key", "n", "group_key", "prefix"])
+            columns += [pa.array(groups, pa.int64()), pa.array(found, pa.list_(pa.int64())), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "set_key", "n", "group_key", "prefix", "tag"])
 
-    schema = "id long, mark long, set_key long, n long, group_key long, prefix array<bigint>"
+    schema = "id long, mark long, set_key long, n long, group_key long, prefix array<bigint>, tag long"
     return rows.mapInArrow(cut, schema)
 
 
@@ -154,10 +154,10 @@ def link_documents(
     percent: int = PERCENT,
     id_col: str = "doc_id",
     text_col: str = "text",
-    sketch_bits: int = SKETCH_BITS,
     tag_col: str | None = None,
+    sketch_bits: int = SKETCH_BITS,
 ) -> DataFrame:
-    """``(id, n_shingles, component_id)`` for every row of ``docs``.
+    """``(id, n_shingles, component_id, component)`` for every row of ``docs``, and ``tag``.
 
     Two documents link when their sets of distinct ``width``-word shingles, of texts with A-Z in lower
     case, have ``percent`` of a hundred or more in common. ``component_id`` is the smallest id that
@@ -181,10 +181,13 @@ def link_documents(
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("mark"), F.col(text_col).alias("text")
+        F.col(id_col).cast("long").alias("id"),
+        F.xxhash64(id_col, text_col).alias("mark"),
+        F.col(text_col).alias("text"),
+        (F.col(tag_col) if tag_col else F.lit(None).cast("long")).alias("tag"),
     )
-    levels = frequency_levels(rows, width, sketch_bits)
-    sets = materialize(prefixes(rows.select("id", "mark", "text"), levels, width, percent), "prefixes")
+    levels = frequency_levels(docs, width, sketch_bits, text_col)
+    sets = materialize(prefixes(rows, levels, width, percent), "prefixes")
     filled = sets.filter("n > 0")
     reps = materialize(
         filled.groupBy("set_key").agg(
@@ -240,9 +243,31 @@ def link_documents(
     named = reps.join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     named = materialize(named.select("set_key", "label", "least_id", "rows"), "named")
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    table = materialize(named.join(least, "label").select("set_key", "component_id", "rows"), "set-components")
+    table = materialize(named.join(least, "label").select("set_key", "component_id", "label", "rows"), "set-components")
     found = lookup(
-        sets.select("id", "mark", "n", "set_key"), table.drop("rows"), hot_keys(table, "rows").drop("rows"), "set_key", null_keys=False
+        sets.select("id", "n", "set_key", "tag"), table.drop("rows"), hot_keys(table, "rows").drop("rows"), "set_key", null_keys=False
     )
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return found.select(F.col("id").alias(id_col), "mark", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return found.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.col("label").alias("component"),
+        "tag",
+    )
+
+
+def keep_first_of_component(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one row of every component of more than one row: that with the
+    smallest id, and among rows with that id the first written. See ``link_documents``."""
+    tag = "__row_tag"
+    tagged = materialize(docs.withColumn(tag, F.monotonically_increasing_id()), "tagged")
+    found = link_documents(tagged, width, percent, id_col, text_col, tag_col=tag)
+    found = materialize(found.filter("n_shingles > 0"), "linked")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("tag"))
+    first = found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
+    kept = first.filter("rows > 1").select("component", F.col("first.tag").alias("kept"), "rows")
+    kept = materialize(kept, "kept")
+    met = lookup(found, kept.drop("rows"), hot_keys(kept, "rows").drop("rows"), "component", null_keys=False)
+    dropped = met.filter(F.col("kept").isNotNull() & (F.col("kept") != F.col("tag")))
+    return drop_rows(tagged, dropped.select(F.col("tag").alias(tag)), tag).select(*[F.col(f"`{c}`") for c in docs.columns])

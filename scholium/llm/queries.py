@@ -7,7 +7,7 @@ from scholium.llm import exact_dedup, fingerprints, language, language_model, mi
 from scholium.llm.shared import id_hash_mod
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """Where the executors have a public tokenizer; the package is installed with Python on all of them."""
     import public_tokenizers
 
@@ -84,11 +84,11 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack_documents(_documents(spark, sf), _vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(_documents(spark, sf), vocabulary("word_bpe_49k.json"))
 
 
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    counted = token_counts.count_tokens(_documents(spark, sf), _vocabulary("byte_bpe_50k.json"))
+    counted = token_counts.count_tokens(_documents(spark, sf), vocabulary("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
