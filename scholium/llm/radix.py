@@ -45,6 +45,7 @@ class RadixTrie:
         self.held: dict[int, int] = {}
         self.spilled: dict[int, list] = {}
         self.size = 0
+        self.strings: dict[int, int] = {}
         self.folder = None
 
     def insert(self, key: bytes, owner) -> None:
@@ -55,11 +56,13 @@ class RadixTrie:
         top = self.tops.get(branch)
         if top is None:
             top = self.tops[branch] = _Node(b"")
-            self.held[branch] = 0
+            self.held[branch] = self.strings[branch] = 0
         grown = self._insert(top, key, owner)
         self.held[branch] += grown
         self.size += grown
-        while self.size > self.budget and self.held:
+        self.strings[branch] += grown > 0
+        # A single string cannot be split, so it is held whatever its size.
+        while self.size > self.budget and sum(self.strings.values()) > 1:
             self._spill(max(self.held, key=self.held.get))
 
     def _insert(self, node: _Node, key: bytes, owner) -> int:
@@ -84,7 +87,10 @@ class RadixTrie:
                 return 200
             fork.children[key[at + n]] = _Node(key[at + n :], owner)
             return end - at - n + 400
-        node.owner = owner if node.owner is None else self.merge(node.owner, owner)
+        if node.owner is None:
+            node.owner = owner
+            return 1
+        node.owner = self.merge(node.owner, owner)
         return 0
 
     @staticmethod
@@ -109,12 +115,14 @@ class RadixTrie:
         for key, owner in self._walk(self.tops.pop(branch)):
             self._append(branch, key, owner)
         self.size -= self.held.pop(branch)
+        del self.strings[branch]
 
     def items(self) -> Iterator[tuple[bytes, tuple]]:
         """Every string with its owner; empties the trie."""
         for branch in list(self.tops):
             yield from self._walk(self.tops.pop(branch))
             self.size -= self.held.pop(branch)
+            del self.strings[branch]
         for file, agreed in self.spilled.values():
             file.seek(0)
             below = RadixTrie(self.merge, self.budget, max(self.depth + 1, len(agreed or b"")))
