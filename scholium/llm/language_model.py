@@ -18,7 +18,9 @@ BLOCK_GRAMS = 5_000_000
 # A word is common when it is more than one in so many training tokens, so at most so many are.
 COMMON_SHARE = 1 << 20
 # Entries that a task counts before it sends them on.
-BUFFER_ENTRIES = 3_000_000
+BUFFER_ENTRIES = 1_500_000
+# Rows whose texts are held as bytes at once.
+_SLICE = 512
 
 # Bytes that no UTF-8 text has: what stands before a text, and its end. The end is a symbol.
 _BEFORE, _END = 0xFE, 0xFF
@@ -41,6 +43,11 @@ def gram_codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.stack([starts, starts + sizes], axis=1).ravel()
 
 
+def _slices(column: pa.Array) -> Iterator[list[bytes]]:
+    for start in range(0, len(column), _SLICE):
+        yield [lowered(t.as_py()) for t in column.slice(start, _SLICE)]
+
+
 class _Counter:
     """Counts of 64-bit keys, merged whenever enough new ones have come."""
 
@@ -79,15 +86,16 @@ def count_training(docs: DataFrame, order: int = ORDER, text_col: str = "text")
                 columns = [pa.array(np.full(len(part), is_word)), pa.array(part.view(np.int64)), pa.array(counts[at : at + len(part)])]
                 yield pa.RecordBatch.from_arrays(columns, names=["word", "key", "n"])
 
+        worker_state("context_trie", dict).clear()
         words, grams = _Counter(), _Counter()
         for batch in batches:
-            texts = [lowered(t.as_py()) for t in batch.column(0)]
-            for _, chunk in chunks(texts):
-                hashes, _ = word_hashes(chunk)
-                words.add(np.concatenate([hashes, np.full(len(chunk), _END_WORD)]))
-                codes, bounds = gram_codes(chunk, order)
-                inside = np.repeat(np.tile([True, False], len(chunk)), np.diff(np.append(bounds, len(codes))))
-                grams.add(codes[inside])
+            for texts in _slices(batch.column(0)):
+                for _, chunk in chunks(texts):
+                    hashes, _ = word_hashes(chunk)
+                    words.add(np.concatenate([hashes, np.full(len(chunk), _END_WORD)]))
+                    codes, bounds = gram_codes(chunk, order)
+                    inside = np.repeat(np.tile([True, False], len(chunk)), np.diff(np.append(bounds, len(codes))))
+                    grams.add(codes[inside])
             if len(words.keys) + len(grams.keys) > BUFFER_ENTRIES:
                 yield from rows(True, words)
                 yield from rows(False, grams)
@@ -115,18 +123,18 @@ class ContextTrie:
             source, n = (codes, counts) if k > 1 else (low, low_counts)
             kept = np.asarray(source, np.uint64) & np.uint64((1 << 8 * (k + 1)) - 1)
             self.grams[k], at = np.unique(kept, return_inverse=True)
-            self.counts[k] = np.bincount(at, weights=n, minlength=len(self.grams[k]))
+            self.counts[k] = np.bincount(at, weights=n, minlength=len(self.grams[k])).astype(np.float32)
         self.contexts, self.totals, self.kinds, self.lower_totals, self.lower_kinds = [], [], [], [], []
         for k in range(order + 1):
             context, begin = np.unique(self.grams[k] >> np.uint64(8), return_index=True)
             self.contexts.append(context)
-            self.totals.append(np.add.reduceat(self.counts[k], begin) if len(begin) else np.zeros(0))
-            self.kinds.append(np.diff(np.append(begin, len(self.grams[k]))))
+            self.totals.append(np.add.reduceat(self.counts[k], begin, dtype=np.float64) if len(begin) else np.zeros(0))
+            self.kinds.append(np.diff(np.append(begin, len(self.grams[k]))).astype(np.int32))
             if k:
                 below = np.uint64((1 << 8 * k) - 1)
                 same = self.counts[k - 1][np.searchsorted(self.grams[k - 1], self.grams[k] & below)]
                 up = np.searchsorted(self.contexts[k - 1], context & (below >> np.uint64(8)))
-                excluded = np.add.reduceat(same, begin) if len(begin) else np.zeros(0)
+                excluded = np.add.reduceat(same, begin, dtype=np.float64) if len(begin) else np.zeros(0)
                 self.lower_totals.append(self.totals[k - 1][up] - excluded)
                 self.lower_kinds.append(self.kinds[k - 1][up] - self.kinds[k])
             else:
@@ -253,24 +261,26 @@ def score(
                     kept["words"] = CountTable(*shared.value)
                     kept["key"] = (version, number)
                 trie, table = kept["trie"], kept["words"]
-                texts = [lowered(t.as_py()) for t in batch.column(1)]
-                likely = []
-                for _, chunk in chunks(texts):
-                    codes, bounds = gram_codes(chunk, order)
-                    if blocks == 1:
-                        values = trie.log10(codes)
-                    else:
-                        here = _block(codes >> np.uint64(8) & np.uint64(0xFFFF), blocks) == number
-                        values = np.zeros(len(codes))
-                        values[here] = trie.log10(codes[here])
-                    # The codes between two texts span both and are left out.
-                    likely.append(np.add.reduceat(np.append(values, 0.0), bounds)[::2])
-                columns = [batch.column(0), batch.column(2), pa.array(np.concatenate(likely))]
-                names = ["id", "tag", "likely"]
-                if with_words:
-                    columns += word_part(texts, table)
-                    names += ["n_tokens", "known", "common", "rare"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                for start in range(0, batch.num_rows, _SLICE):
+                    part = batch.slice(start, _SLICE)
+                    texts = [lowered(t.as_py()) for t in part.column(1)]
+                    likely = []
+                    for _, chunk in chunks(texts):
+                        codes, bounds = gram_codes(chunk, order)
+                        if blocks == 1:
+                            values = trie.log10(codes)
+                        else:
+                            here = _block(codes >> np.uint64(8) & np.uint64(0xFFFF), blocks) == number
+                            values = np.zeros(len(codes))
+                            values[here] = trie.log10(codes[here])
+                        # The codes between two texts span both and are left out.
+                        likely.append(np.add.reduceat(np.append(values, 0.0), bounds)[::2])
+                    columns = [part.column(0), part.column(2), pa.array(np.concatenate(likely))]
+                    names = ["id", "tag", "likely"]
+                    if with_words:
+                        columns += word_part(texts, table)
+                        names += ["n_tokens", "known", "common", "rare"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
         return run
 
