@@ -18,11 +18,9 @@ UNIT_LENGTH_ENCODERS = ("hkunlp/instructor-large", "hkunlp/instructor-xl")
 TEXT_CITATION_PREFIX = "Chunk file "
 
 
-def quarantine_failures(docs: DataFrame, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+def quarantine_failures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split documents into usable ones and ``rejects(source, reason)``."""
     reason = F.when(F.col("text").isNull(), "unreadable").when(F.length("text") == 0, "empty")
-    if max_chars is not None:
-        reason = reason.when(F.length("text") > max_chars, "oversize")
     marked = docs.withColumn("reason", reason)
     good = marked.filter(F.col("reason").isNull()).drop("reason")
     return good, marked.filter(F.col("reason").isNotNull()).select("source", "reason")
@@ -40,8 +38,12 @@ def content_keys(docs: DataFrame, id_col: str = "source") -> DataFrame:
 
 
 def dedup_by_content(docs: DataFrame, id_col: str = "source") -> DataFrame:
-    """One document per distinct text: the one with the lowest id."""
-    return docs.join(content_keys(docs, id_col).select(id_col), id_col, "left_semi")
+    """One document per distinct text: the one with the lowest id.
+
+    Ids may repeat with other texts. A row that repeats as a whole stays as often as it comes.
+    """
+    first = content_keys(docs, id_col).select(F.col(id_col).alias("__id"), F.col("dockey").alias("__key"))
+    return docs.join(first, (F.col(id_col) == F.col("__id")) & (F.md5("text") == F.col("__key")), "left_semi")
 
 
 def assign_citations(docs: DataFrame) -> DataFrame:

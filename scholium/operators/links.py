@@ -263,6 +263,8 @@ def exclude_hosts(pages: DataFrame, patterns: Sequence[str] = BLOCKED_HOSTS) ->
     blocked = F.lit(False)
     for pattern in patterns:
         blocked = blocked | F.contains(F.col("url"), F.lit(pattern))
+    # A page without an address is blocked by no pattern.
+    blocked = F.coalesce(blocked, F.lit(False))
     return pages.filter(~blocked), pages.filter(blocked).select("page_id", F.lit("blocked").alias("status"))
 
 

@@ -9,7 +9,6 @@ from scholium.registry.tables import CHUNKS_SQL, UNIQUE_SQL, WEIGHTS_SQL, docs,
 from scholium.sources import library_table
 
 OVERLAP = 100
-MAX_CHARS = 20_000
 
 
 def chunk_texts(spark, sf):
@@ -54,7 +53,7 @@ def _damaged(spark, sf):
 
 
 def quarantine_failures(spark, sf):
-    good, rejects = library.quarantine_failures(_damaged(spark, sf), MAX_CHARS)
+    good, rejects = library.quarantine_failures(_damaged(spark, sf))
     return good.select("source", F.lit("ok").alias("reason")).unionByName(rejects)
 
 
@@ -63,10 +62,10 @@ def library_add(spark, sf):
     d = table(spark, sf, "documents")
     every = _damaged(spark, sf).join(d.select(F.col("doc_id").alias("source"), "lang"), "source")
     every = every.withColumn("source", F.concat(F.lit("papers/"), F.col("source"), F.lit(".txt")))
-    library_table.library_add(every.filter("lang IN ('en', 'fr')"), root, "lib", batch=0)
-    library_table.library_add(every, root, "lib", batch=1)
+    library_table.library_add(every.filter("lang IN ('en', 'fr')"), root, "lib")
+    library_table.library_add(every, root, "lib")
     _, chunks = library_table.load_library(spark, root, "lib")
-    return chunks.select("source", "chunk_no", F.md5("text").alias("digest"), F.size("terms").alias("n_terms"), "batch")
+    return chunks.select("source", "chunk_no", F.md5("text").alias("digest"), F.size("terms").alias("n_terms"))
 
 
 def assign_citations(spark, sf):
@@ -123,17 +122,14 @@ WITH v AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER)
 SELECT vec_id, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS x FROM v""",
     "quarantine_failures": f"""
 WITH {_DAMAGED}
-SELECT doc_id AS source, CASE WHEN text IS NULL THEN 'unreadable' WHEN text = '' THEN 'empty'
-                              WHEN length(text) > {MAX_CHARS} THEN 'oversize' ELSE 'ok' END AS reason
+SELECT doc_id AS source, CASE WHEN text IS NULL THEN 'unreadable' WHEN text = '' THEN 'empty' ELSE 'ok' END AS reason
 FROM damaged""",
     "library_add": f"""
 WITH {_DAMAGED}, d AS (
-  SELECT 'papers/' || doc_id || '.txt' AS source, text, CASE WHEN lang IN ('en', 'fr') THEN 0 ELSE 1 END AS b
-  FROM damaged WHERE length(text) > 0), {CHUNKS_SQL.format("d")}
+  SELECT 'papers/' || doc_id || '.txt' AS source, text FROM damaged WHERE length(text) > 0), {CHUNKS_SQL.format("d")}
 SELECT c.source, c.chunk_no, md5(c.text) AS digest,
-       CAST(len(list_distinct(regexp_extract_all(lower(c.text), '[\\p{{L}}\\p{{N}}]+'))) AS INTEGER) AS n_terms,
-       CAST(d.b AS BIGINT) AS batch
-FROM chunks c JOIN d USING (source)""",
+       CAST(len(list_distinct(regexp_extract_all(lower(c.text), '[\\p{{L}}\\p{{N}}]+'))) AS INTEGER) AS n_terms
+FROM chunks c""",
     "assign_citations": """
 WITH d AS (SELECT doc_id, lang, n_chars > 500 AS is_text FROM documents)
 SELECT 'papers/' || lang || '/' || doc_id || CASE WHEN is_text THEN '.txt' ELSE '.pdf' END AS source,

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import text as tx
 from scholium.operators import search
-from scholium.registry.tables import TOKENS_SQL, questions, table, texts
+from scholium.registry.tables import TOKENS_SQL, TURN_ID_SQL, questions, table, texts
 
 KEYWORD = "The AND of AND and"
 RETMAX = 25
@@ -12,8 +12,8 @@ TOP_KEYWORDS = 5
 
 
 def _queries(spark, sf):
-    """The first two words of each benchmark item as a query."""
-    words = F.slice(tx.tokens(F.col("text")), 1, 2)
+    """All words of each benchmark item as a query."""
+    words = tx.tokens(F.col("text"))
     return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("qid"), F.array_join(words, " AND ").alias("keyword")
     )
@@ -80,7 +80,7 @@ QUERIES = {
 
 _HITS = f"""
 q AS (
-  SELECT item_id AS qid, words[1:2] AS words FROM (SELECT item_id, {TOKENS_SQL.format('text')} AS words FROM benchmark)),
+  SELECT item_id AS qid, {TOKENS_SQL.format('text')} AS words FROM benchmark),
 d AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS words FROM documents),
 hits AS (SELECT qid, doc_id FROM q JOIN d ON list_has_all(d.words, q.words))"""
 
@@ -90,8 +90,8 @@ freq AS (SELECT tok, count(*) AS df FROM posts GROUP BY tok),
 total AS (SELECT count(*) AS n FROM documents),
 qposts AS (
   SELECT qid, tok, count(*) AS tf FROM (
-    SELECT conv_id AS qid, unnest({TOKENS_SQL.format('text')}) AS tok
-    FROM conversations WHERE role = 'user' AND turn = 0) GROUP BY ALL),
+    SELECT {TURN_ID_SQL} AS qid, unnest({TOKENS_SQL.format('text')}) AS tok
+    FROM conversations WHERE role = 'user') GROUP BY ALL),
 weights AS (
   SELECT qid, tok AS keyword, round(tf * (ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1), 6) AS weight
   FROM qposts LEFT JOIN freq USING (tok) CROSS JOIN total),

@@ -71,10 +71,10 @@ def write_artifacts(spark, sf):
 def save_library(spark, sf):
     root = scratch_path(spark, "library")
     every = docs(spark, sf).select(F.col("source").cast("string").alias("source"), "text")
-    for batch, part in enumerate((F.length("text") < 1000, F.length("text") >= 1000)):
+    for part in (F.length("text") < 1000, F.length("text") >= 1000):
         some = library.assign_citations(every.filter(part))
         chunks = tx.with_terms(library.chunk_texts_with_source(some))
-        library_table.save_library(some, chunks, root, "all papers", batch)
+        library_table.save_library(some, chunks, root, "all papers")
     papers, chunks = library_table.load_library(spark, root, "all papers")
     return (
         chunks.join(papers.select("source", "dockey", "encoder"), "source")

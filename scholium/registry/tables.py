@@ -7,6 +7,9 @@ from scholium.sources import corpus
 
 TOKENS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
+# One id for each turn of each conversation.
+TURN_ID_SQL = "conv_id * 1000000 + turn"
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -22,9 +25,9 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """The opening question of each conversation."""
-    turns = table(spark, sf, "conversations").filter("role = 'user' AND turn = 0")
-    return turns.select(F.col("conv_id").alias("qid"), "text")
+    """Every question of every conversation."""
+    turns = table(spark, sf, "conversations").filter("role = 'user'")
+    return turns.select(F.expr(TURN_ID_SQL).alias("qid"), "text")
 
 
 def ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +72,7 @@ weights AS (
   SELECT source, chunk_no, tok, w / sqrt(sum(w * w) OVER (PARTITION BY source, chunk_no)) AS w FROM raw)"""
 
 HITS_SQL = f"""
-questions AS (SELECT conv_id AS qid, text FROM conversations WHERE role = 'user' AND turn = 0),
+questions AS (SELECT {TURN_ID_SQL} AS qid, text FROM conversations WHERE role = 'user'),
 qposts AS (
   SELECT qid, tok, count(*) AS tf
   FROM (SELECT qid, unnest({TOKENS_SQL.format('text')}) AS tok FROM questions) GROUP BY ALL),

@@ -4,6 +4,8 @@ Every stream takes a checkpoint folder, which must lie where all executors can r
 written so that a batch that runs again replaces what it wrote before.
 """
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,13 +29,14 @@ def read_stream(spark: SparkSession, path: str, schema, max_files: int | None =
 def stream_library_ingest(docs: DataFrame, root: str, name: str, checkpoint: str) -> StreamingQuery:
     """Add arriving ``docs(source, text)`` to a library, one batch folder per micro-batch.
 
-    A path that comes again is left out, by the anti join of ``library_add`` across batches and by
-    keeping one row per path within a batch.
+    A path that comes again is left out by ``library_add``. A batch is keyed by the checkpoint, which
+    is the stream's own, and its number: one that runs again replaces only itself, and neither other
+    streams nor plain additions.
     """
+    stream_id = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy("source").agg(F.min("text").alias("text"))
-        library_table.library_add(first, root, name, batch_id)
+        library_table.library_add(batch, root, name, f"{stream_id}-{batch_id}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

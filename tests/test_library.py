@@ -34,6 +34,20 @@ def test_adding_twice_is_adding_once(spark, rows):
     assert library_table.load_library(spark, root, "another")[0].count() == 0
 
 
+def test_calls_without_a_key_add(spark, rows):
+    root = scratch_path(spark, "lib")
+    library_table.library_add(_docs(spark, ("a.txt", "one"), ("b.txt", "two"), ("a.txt", "more")), root, "l")
+    library_table.library_add(_docs(spark, ("b.txt", "two"), ("c.txt", "three")), root, "l")
+    papers, chunks = library_table.load_library(spark, root, "l")
+    assert rows(papers.select("source")) == [("a.txt",), ("b.txt",), ("c.txt",)]
+    assert rows(chunks.select("source", "chunk_no", "text")) == [("a.txt", 1, "more"), ("b.txt", 1, "two"), ("c.txt", 1, "three")]
+
+
+def test_first_of_equal_texts_with_repeated_ids(spark, rows):
+    docs = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y")], "source long, text string")
+    assert rows(library.dedup_by_content(docs)) == [(1, "x"), (2, "y")]
+
+
 @pytest.mark.parametrize("name,want", [("a b/c", "a_bc"), ("x-1.(2)", "x-1.(2)"), ("é9", "9")])
 def test_names(name, want):
     assert library_table.clean_name(name) == want

@@ -102,6 +102,12 @@ def test_main_text(spark):
     assert fixed == want
 
 
+def test_page_without_address_is_kept(spark):
+    pages = spark.createDataFrame([(1, None, "x")], "page_id long, url string, html string")
+    kept, blocked = links.exclude_hosts(pages)
+    assert (kept.count(), blocked.count()) == (1, 0)
+
+
 def test_exclude_hosts(spark):
     kept, blocked = links.exclude_hosts(_pages(spark, ("https://ovidsp.example.com/1", "x"), ("https://b.org", "y")))
     assert [r.page_id for r in kept.collect()] == [1]

@@ -1,9 +1,9 @@
-"""Every registered query against its SQL."""
+"""Every query of the engine against its SQL. Those of the training-data operators are tested beside them."""
 
 import oracle
 import pytest
 
-import __spark_entry__ as registered
+from scholium import registry as registered
 from scholium.sources import corpus
 
 

@@ -29,6 +29,15 @@ def test_ingest_restart_adds_only_new(spark, rows):
     assert run() == [("a.txt", 1, "one"), ("b.txt", 1, "two"), ("c.txt", 1, "three")]
 
 
+def test_ingest_keeps_what_others_added(spark, rows):
+    folder, root, checkpoint = (scratch_path(spark, n) for n in ("in", "lib", "cp"))
+    library_table.library_add(spark.createDataFrame([("a.txt", "one"), ("b.txt", "two")], DOCS), root, "l")
+    _land(spark, folder, ("b.txt", "two"), ("z.txt", "new"))
+    stream = streams.read_stream(spark, folder, DOCS)
+    streams.stream_library_ingest(stream, root, "l", checkpoint).awaitTermination()
+    assert rows(library_table.load_library(spark, root, "l")[1].select("source")) == [("a.txt",), ("b.txt",), ("z.txt",)]
+
+
 def test_dedup_across_batches(spark, rows):
     folder, out, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
     for pairs in ([("a", "x"), ("b", "x"), ("c", "y")], [("d", "y"), ("e", "z")]):
