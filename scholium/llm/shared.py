@@ -36,11 +36,17 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def worker_state(name: str, make):
-    """An object that lives as long as the Python worker, made on first use."""
+    """An object that a Python worker keeps between tasks, made on first use.
+
+    A worker keeps one at a time: asking for another drops it, so what an earlier job has left
+    takes no memory from the next.
+    """
     states = sys.modules.setdefault("scholium_worker_state", types.ModuleType("scholium_worker_state"))
-    if not hasattr(states, name):
-        setattr(states, name, make())
-    return getattr(states, name)
+    if getattr(states, "name", None) != name:
+        states.name = states.kept = None
+        states.kept = make()
+        states.name = name
+    return states.kept
 
 
 def id_hash_mod(column: str, n: int) -> Column:

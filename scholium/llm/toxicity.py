@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.shared import ship_package
+from scholium.llm.shared import ship_package, worker_state
 from scholium.plans.storage import materialize
 
 # Labelled rows of each class that the classifier is fitted on, at most.
@@ -17,6 +17,9 @@ HASH_BITS = 22
 FEATURES = 8192
 MIN_DOCUMENTS = 3
 _CHUNK_CHARS = 1 << 20
+# Rows whose n-grams are held at once, and counts sent on at once.
+_SLICE = 256
+_COUNTS_PER_BATCH = 1 << 18
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -32,6 +35,14 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield first, chunk
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # What an earlier operator left in this worker is not needed any more.
+    worker_state("none", dict)
+    for batch in batches:
+        for start in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(start, _SLICE)
+
+
 def text_features(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``(text number, feature)`` of every distinct character n-gram of each text, in order.
 
@@ -102,13 +113,17 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     ship_package(labelled.sparkSession)
 
     def counts(batches):
-        for batch in batches:
+        tally = np.zeros((2, 1 << HASH_BITS), np.int32)
+        for batch in _slices(batches):
             label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             row, feature = text_features(batch.column(0).to_pylist())
-            toxic = label[row] == 1
-            found = np.unique(feature)
-            at = np.searchsorted(found, feature)
-            columns = [found, *[np.bincount(at[mask], minlength=len(found)).astype(np.int64) for mask in (toxic, ~toxic)]]
+            for kind in (0, 1):
+                found, n = np.unique(feature[label[row] == kind], return_counts=True)
+                tally[kind, found] += n.astype(np.int32)
+        seen = np.flatnonzero(tally.any(axis=0))
+        for start in range(0, len(seen), _COUNTS_PER_BATCH):
+            part = seen[start : start + _COUNTS_PER_BATCH]
+            columns = [part, tally[1, part].astype(np.int64), tally[0, part].astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["feature", "toxic", "clean"])
 
     sums = labelled.select("text", "label").mapInArrow(counts, "feature long, toxic long, clean long")
@@ -129,7 +144,7 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     def present(batches):
         wanted = np.zeros(1 << HASH_BITS, bool)
         wanted[features] = True
-        for batch in batches:
+        for batch in _slices(batches):
             row, feature = text_features(batch.column(0).to_pylist(), wanted)
             at = np.searchsorted(features, feature).astype(np.int32)
             bounds = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -171,7 +186,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], out: str
         wanted[features] = True
         weight = np.zeros(1 << HASH_BITS)
         weight[features] = weights
-        for batch in batches:
+        for batch in _slices(batches):
             row, feature = text_features(batch.column(at_text).to_pylist(), wanted)
             z = intercept + np.bincount(row, weights=weight[feature], minlength=batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
