@@ -3,6 +3,7 @@
 import oracle
 import pytest
 
+import __spark_entry__
 from scholium import registry as registered
 from scholium.sources import corpus
 
@@ -37,6 +38,6 @@ def test_no_shuffle(spark, sf_dir, name, monkeypatch):
 
 
 def test_entry(spark):
-    df = registered.entry(spark)
+    df = __spark_entry__.entry(spark)
     assert df.columns == ["qid", "n_sources", "evidence"]
     assert df.count() > 0
