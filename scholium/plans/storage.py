@@ -35,8 +35,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table and read it back.
 
     This cuts the lineage, survives the loss of executors, and gives the planner the true size, so
-    that it broadcasts the table in later joins only if it is small.
+    that it broadcasts the table in later joins only if it is small. ``discard`` removes the table.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` returned, once all that reads them has been written."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
