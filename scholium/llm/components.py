@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.plans.storage import materialize
+from scholium.plans.storage import discard, materialize
 
 
 def _towards_least(edges: DataFrame, keep: str) -> DataFrame:
@@ -32,7 +32,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         small = materialize(_once(_towards_least(down, "v < u")), "edges")
         before, edges = edges, small
-        if _digest(before) == _digest(edges):
+        settled = _digest(before) == _digest(edges)
+        discard(before, large)
+        if settled:
             labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
             return labels.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -4,7 +4,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.llm.radix import RadixTrie
@@ -13,7 +13,7 @@ from scholium.plans.skew import hot_keys, lookup
 from scholium.plans.storage import materialize
 
 TRIE_BYTES = 192 << 20
-# Up to so many row tags, 8 bytes each, are broadcast; more are joined by a shuffle.
+# Up to so many rows, named by id and hash, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
@@ -168,17 +168,40 @@ def find_copies(
     )
 
 
-def drop_rows(tagged: DataFrame, dropped: DataFrame, tag: str) -> DataFrame:
-    """``tagged`` without the rows named in ``dropped``; few are broadcast, more are shuffled."""
-    dropped = materialize(dropped.select(tag), "dropped")
-    few = dropped.count() <= BROADCAST_ROWS
-    return tagged.join(F.broadcast(dropped) if few else dropped.hint("merge"), tag, "left_anti")
+def row_mark(id_col: str, text_col: str) -> Column:
+    """With the id, tells rows apart whose texts differ; the same whenever it is computed."""
+    return F.xxhash64(id_col, text_col)
+
+
+def drop_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs``, all columns, as ``found(id, mark, kept)`` decides; rows it does not name stay.
+
+    ``found`` has a row for every row of ``docs`` that it decides on. Of rows that agree in id and
+    text and are kept, one stays. Few decisions are broadcast, more are shuffled. ``docs`` is not
+    copied: rows are found again by what they hold.
+    """
+    counted = found.groupBy("id", "mark").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    decided = materialize(counted.filter("NOT kept OR rows > 1"), "decided")
+    few = decided.count() <= BROADCAST_ROWS
+    named = decided.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "kept")
+    sized = lambda rows: F.broadcast(rows) if few else rows.hint("merge")
+    rows = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_mark": row_mark(id_col, text_col)})
+    same = F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_mark") == F.col("__mark"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left = rows.join(sized(named.drop("kept")), same, "left_anti").select(*columns)
+    repeated = named.filter("kept").drop("kept")
+    if repeated.isEmpty():
+        return left
+    once = rows.join(sized(repeated), same, "left_semi").dropDuplicates(["__row_id", "__row_mark"])
+    return left.unionByName(once.select(*columns))
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one row of every group of equal texts; see ``find_copies``."""
-    tag = "__row_tag"
-    tagged = materialize(docs.withColumn(tag, F.monotonically_increasing_id()), "tagged")
-    found = find_copies(tagged, keep, id_col, text_col, tag)
-    dropped = found.filter("NOT kept").select(F.col("tag").alias(tag))
-    return drop_rows(tagged, dropped, tag).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs``, all columns, with one row of every group of equal texts; see ``find_copies``.
+
+    ``docs`` is read three times, so it should be a stored table.
+    """
+    mark = "__row_mark"
+    marked = docs.select(id_col, text_col, row_mark(id_col, text_col).alias(mark))
+    found = find_copies(marked, keep, id_col, text_col, mark).filter("group_size > 1")
+    return drop_rows(docs, found.select(F.col(id_col).alias("id"), F.col("tag").alias("mark"), "kept"), id_col, text_col)

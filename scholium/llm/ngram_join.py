@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.llm.components import components
-from scholium.llm.exact_dedup import drop_rows
+from scholium.llm.exact_dedup import drop_rows, row_mark
 from scholium.llm.shared import ship_package, shuffle_partitions
 from scholium.llm.shingles import shingle_sets
 from scholium.llm.words import lowered, mix
 from scholium.plans.skew import hot_keys, lookup
-from scholium.plans.storage import materialize
+from scholium.plans.storage import discard, materialize
 
 WIDTH = 5
 PERCENT = 80
@@ -67,7 +67,7 @@ def frequency_levels(docs: DataFrame, width: int = WIDTH, bits: int = SKETCH_BIT
 
 
 def prefixes(rows: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``(id, mark, set_key, n, group_key, prefix, tag)`` from ``rows(id, mark, text, tag)``.
+    """``(id, mark, set_key, n, group_key, prefix)`` from ``rows(id, mark, text)``.
 
     ``set_key`` is a hash of the whole set. ``prefix`` holds the rarest shingles, so many that two
     sets that are similar enough share one; each task gives it once for equal sets. ``group_key``
@@ -98,10 +98,10 @@ def prefixes(rows: DataFrame, levels: np.ndarray, width: int, percent: int) -> D
                     found.append(None if key in given else prefix.view(np.int64))
                     given.add(key)
             columns = [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())]
-            columns += [pa.array(groups, pa.int64()), pa.array(found, pa.list_(pa.int64())), batch.column(3)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "set_key", "n", "group_key", "prefix", "tag"])
+            columns += [pa.array(groups, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "set_key", "n", "group_key", "prefix"])
 
-    schema = "id long, mark long, set_key long, n long, group_key long, prefix array<bigint>, tag long"
+    schema = "id long, mark long, set_key long, n long, group_key long, prefix array<bigint>"
     return rows.mapInArrow(cut, schema)
 
 
@@ -145,7 +145,9 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, width: int, perce
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
-    return materialize(both.mapInArrow(compare, "a long, b long"), "links")
+    links = materialize(both.mapInArrow(compare, "a long, b long"), "links")
+    discard(needed, texts)
+    return links
 
 
 def link_documents(
@@ -154,10 +156,9 @@ def link_documents(
     percent: int = PERCENT,
     id_col: str = "doc_id",
     text_col: str = "text",
-    tag_col: str | None = None,
     sketch_bits: int = SKETCH_BITS,
 ) -> DataFrame:
-    """``(id, n_shingles, component_id, component)`` for every row of ``docs``, and ``tag``.
+    """``(id, n_shingles, component_id, component, mark)`` for every row of ``docs``.
 
     Two documents link when their sets of distinct ``width``-word shingles, of texts with A-Z in lower
     case, have ``percent`` of a hundred or more in common. ``component_id`` is the smallest id that
@@ -176,15 +177,14 @@ def link_documents(
 
     A null text is empty. Texts without words have 0 shingles and link with nothing; their component
     is themselves. Null ids are not a smallest id unless alone. Repeated rows are equal sets. An
-    empty table gives no rows. Other columns are ignored, but ``tag_col`` is carried along as ``tag``.
+    empty table gives no rows. Other columns are ignored. ``mark`` is ``row_mark``.
     """
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
-        F.xxhash64(id_col, text_col).alias("mark"),
+        row_mark(id_col, text_col).alias("mark"),
         F.col(text_col).alias("text"),
-        (F.col(tag_col) if tag_col else F.lit(None).cast("long")).alias("tag"),
     )
     levels = frequency_levels(docs, width, sketch_bits, text_col)
     sets = materialize(prefixes(rows, levels, width, percent), "prefixes")
@@ -202,6 +202,8 @@ def link_documents(
     shared = postings.groupBy("shingle").agg(centre, F.min("group_key").alias("__low"), F.max("group_key").alias("__high"))
     shared = shared.filter("__low <> __high").select("shingle", "centre")
     postings = materialize(postings.join(shared, "shingle"), "postings")
+    known_sets = materialize(sets.select("id", "mark", "n", "set_key"), "row-sets")
+    discard(sets)
 
     near = postings.filter("group_key <> centre.group_key").filter(_may_link("n", "at", "centre.n", "centre.at", percent))
     near = near.select("group_key", F.col("centre.group_key").alias("other")).distinct()
@@ -220,6 +222,7 @@ def link_documents(
     known = postings.join(groups, "group_key").select("shingle", "group_key", "n", "at", "low", "high")
     open_ = known.groupBy("shingle").agg(F.min("low").alias("__low"), F.max("high").alias("__high")).filter("__low <> __high")
     known = materialize(known.join(open_.select("shingle"), "shingle"), "open-postings")
+    discard(postings)
     left, right = known.alias("l"), known.alias("r")
     rest = left.join(
         right,
@@ -235,6 +238,7 @@ def link_documents(
     of_h = labelled.select(F.col("group_key").alias("h"), F.col("set_key").alias("y"), F.col("label").alias("ly"))
     rest = rest.join(of_g, "g").join(of_h, "h").filter("lx <> ly").select(*_ordered("x", "y")).distinct()
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    discard(tried, labelled, known)
     more = verify(rest, rows, reps, width, percent)
 
     if not more.isEmpty():
@@ -242,10 +246,12 @@ def link_documents(
     labels = labels.withColumnRenamed("node", "set_key")
     named = reps.join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     named = materialize(named.select("set_key", "label", "least_id", "rows"), "named")
+    discard(reps, rest, links, more)
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     table = materialize(named.join(least, "label").select("set_key", "component_id", "label", "rows"), "set-components")
+    discard(named)
     found = lookup(
-        sets.select("id", "n", "set_key", "tag"), table.drop("rows"), hot_keys(table, "rows").drop("rows"), "set_key", null_keys=False
+        known_sets, table.drop("rows"), hot_keys(table, "rows").drop("rows"), "set_key", null_keys=False
     )
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return found.select(
@@ -253,21 +259,20 @@ def link_documents(
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("label").alias("component"),
-        "tag",
+        "mark",
     )
 
 
 def keep_first_of_component(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of every component of more than one row: that with the
-    smallest id, and among rows with that id the first written. See ``link_documents``."""
-    tag = "__row_tag"
-    tagged = materialize(docs.withColumn(tag, F.monotonically_increasing_id()), "tagged")
-    found = link_documents(tagged, width, percent, id_col, text_col, tag_col=tag)
-    found = materialize(found.filter("n_shingles > 0"), "linked")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("tag"))
+    smallest id, and among texts with that id the one with the smallest hash. ``docs`` is read for
+    every step on texts, so it should be a stored table. See ``link_documents``."""
+    found = link_documents(docs, width, percent, id_col, text_col)
+    found = materialize(found.filter("n_shingles > 0").select(F.col(id_col).alias("id"), "mark", "component"), "linked")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("mark"))
     first = found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
-    kept = first.filter("rows > 1").select("component", F.col("first.tag").alias("kept"), "rows")
-    kept = materialize(kept, "kept")
-    met = lookup(found, kept.drop("rows"), hot_keys(kept, "rows").drop("rows"), "component", null_keys=False)
-    dropped = met.filter(F.col("kept").isNotNull() & (F.col("kept") != F.col("tag")))
-    return drop_rows(tagged, dropped.select(F.col("tag").alias(tag)), tag).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = first.filter("rows > 1").select("component", F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark"), "rows")
+    first = materialize(first, "first")
+    met = lookup(found, first.drop("rows"), hot_keys(first, "rows").drop("rows"), "component", null_keys=False)
+    kept = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
+    return drop_rows(docs, met.filter("first_mark IS NOT NULL").select("id", "mark", kept.alias("kept")), id_col, text_col)

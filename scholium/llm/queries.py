@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from scholium.llm import exact_dedup, fingerprints, language, language_model, mixing, ngram_join, packing, sharding, token_counts, toxicity
 from scholium.llm.shared import id_hash_mod
+from scholium.plans.storage import discard
 
 
 def vocabulary(name: str) -> str:
@@ -42,7 +43,9 @@ def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf).withColumn("held_out", id_hash_mod("doc_id", 4) == 2)
-    network = language.fit(language.labelled_sample(docs.filter("NOT held_out")))
+    sample = language.labelled_sample(docs.filter("NOT held_out"))
+    network = language.fit(sample)
+    discard(sample)
     found = language.predict(docs.select("doc_id", "held_out", "text"), network)
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
@@ -73,7 +76,10 @@ def toxicity_model(spark: SparkSession, sf: str, docs: DataFrame):
     """Fitted on labelled rows whose id hashes to 1 to 4 modulo 5."""
     labels = spark.read.parquet(f"{sf}/labels.parquet").filter(id_hash_mod("doc_id", 5) != 0)
     labels = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
-    return toxicity.fit(toxicity.labelled_sample(docs, labels, toxicity.SAMPLE_PER_CLASS))
+    sample = toxicity.labelled_sample(docs, labels, toxicity.SAMPLE_PER_CLASS)
+    model = toxicity.fit(sample)
+    discard(sample)
+    return model
 
 
 def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:

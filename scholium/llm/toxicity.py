@@ -14,7 +14,7 @@ from scholium.plans.storage import materialize
 SAMPLE_PER_CLASS = 6000
 NGRAMS = (3, 4, 5)
 HASH_BITS = 22
-FEATURES = 8192
+FEATURES = 8192  # numbered by 16-bit integers
 MIN_DOCUMENTS = 3
 _CHUNK_CHARS = 1 << 20
 # Rows whose n-grams are held at once, and counts sent on at once.
@@ -85,17 +85,27 @@ def text_features(texts: list[str | None], wanted: np.ndarray | None = None) ->
     return np.concatenate(rows), np.concatenate(features)
 
 
-def fit_logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, label: np.ndarray, weight: np.ndarray, n_cols: int,
-                 l2: float = 3e-4, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on sparse rows, by Adam on the whole sample."""
-    n = len(label)
+def fit_logistic(ends: np.ndarray, col: np.ndarray, scale: np.ndarray, label: np.ndarray,
+                 l2: float = 3e-4, steps: int = 400, rate: float = 0.05, block: int = 512) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression by Adam on all rows of the sample.
+
+    Row ``i`` holds the features ``col[ends[i]:ends[i + 1]]``, each with the value ``scale`` of that
+    feature. ``block`` rows are expanded at a time, so memory is little more than ``col``.
+    """
+    n, n_cols = len(label), len(scale)
     params, m, v = np.zeros(n_cols + 1), np.zeros(n_cols + 1), np.zeros(n_cols + 1)
-    share = weight / weight.sum()
     for step in range(1, steps + 1):
-        z = params[-1] + np.bincount(row, weights=value * params[col], minlength=n)
-        error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label)
-        gradient = np.append(np.bincount(col, weights=value * error[row], minlength=n_cols), error.sum())
-        gradient[:-1] += l2 * params[:-1]
+        gradient = np.zeros(n_cols + 1)
+        scaled = scale * params[:-1]
+        for start in range(0, n, block):
+            bounds = ends[start : start + block + 1]
+            part, size = col[bounds[0] : bounds[-1]], len(bounds) - 1
+            row = np.repeat(np.arange(size), np.diff(bounds))
+            z = params[-1] + np.bincount(row, weights=scaled[part], minlength=size)
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[start : start + size]) / n
+            gradient[:-1] += np.bincount(part, weights=error[row], minlength=n_cols)
+            gradient[-1] += error.sum()
+        gradient[:-1] = scale * gradient[:-1] + l2 * params[:-1]
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         pace = rate * (1 - step / (steps + 1))
@@ -146,19 +156,17 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         wanted[features] = True
         for batch in _slices(batches):
             row, feature = text_features(batch.column(0).to_pylist(), wanted)
-            at = np.searchsorted(features, feature).astype(np.int32)
+            at = np.searchsorted(features, feature).astype(np.int16)
             bounds = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(at))
             yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["label", "present"])
 
-    sample = labelled.select("text", "label").mapInArrow(present, "label int, present array<int>").toArrow()
+    sample = labelled.select("text", "label").mapInArrow(present, "label int, present array<smallint>").toArrow()
     label = sample.column("label").to_numpy().astype(np.float64)
     lists = sample.column("present").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    col = lists.flatten().to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()))
-    weight = np.ones(len(label))
-    weights, intercept = fit_logistic(row, col, ratios[col], label, weight, len(features))
+    del sample
+    weights, intercept = fit_logistic(lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), ratios, label)
     return features, weights * ratios, intercept
 
 
