@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import exact_dedup, fingerprints, language, language_model, mixing, ngram_join, packing, sharding, token_counts, toxicity
+from scholium.llm import conversations, exact_dedup, fingerprints, language, language_model, mixing, ngram_join, packing, sharding, token_counts, toxicity
 from scholium.llm.shared import id_hash_mod
 from scholium.plans.storage import discard
 
@@ -105,6 +105,28 @@ def op10_language_model(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def damaged_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``conversations``, each with one kind of damage or none. Rows that the damage drops
+    stay with ``present`` false and without their text."""
+    blank = F.lit(" ")
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), blank)
+    kind = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    text = shown("text")
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(shown("role")).alias("role"),
+        F.when(kind <= 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (kind != 0).alias("present"),
+        F.when(kind == 3, 2).otherwise(1).alias("times"),
+    )
+    return rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "time")
+
+
+def op12_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.repair_report(damaged_conversations(spark, sf), F.col("present"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
@@ -116,6 +138,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_language_model": op10_language_model,
+    "op12_conversations": op12_conversations,
 }
 
 # Without SQL, and tested against plain Python instead: hashes or checksums that SQL lacks (1, 5),
