@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import conversations, exact_dedup, fingerprints, language, language_model, mixing, ngram_join, packing, sharding, token_counts, toxicity
+from scholium.llm import conversations, decontamination, exact_dedup, fingerprints, language, language_model, mixing, ngram_join, packing, sharding, token_counts, toxicity
 from scholium.llm.shared import id_hash_mod
 from scholium.plans.storage import discard
 
@@ -127,6 +127,19 @@ def op12_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.repair_report(damaged_conversations(spark, sf), F.col("present"))
 
 
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    found = decontamination.find_matches(_documents(spark, sf).select("doc_id", "text"), items)
+    return found.select(
+        "doc_id",
+        "match.n_words",
+        "match.n_hit",
+        F.size("match.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("match.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("match.n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
@@ -139,6 +152,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_language_model": op10_language_model,
     "op12_conversations": op12_conversations,
+    "op13_decontamination": op13_decontamination,
 }
 
 # Without SQL, and tested against plain Python instead: hashes or checksums that SQL lacks (1, 5),
@@ -151,4 +165,26 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(s) AS text_sha256, CAST(strlen(s) AS BIGINT) AS n_bytes
         FROM t WINDOW g AS (PARTITION BY s)""",
+    "op13_decontamination": r"""
+        WITH w AS (
+          SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+          FROM documents),
+        b AS (
+          SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+          FROM benchmark),
+        windows AS (
+          SELECT DISTINCT item, least(10, len(ws)) AS k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS s
+          FROM (SELECT item, ws, unnest(generate_series(1, len(ws) - least(10, len(ws)) + 1)) AS i FROM b WHERE len(ws) > 0)),
+        grams AS (
+          SELECT id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS s
+          FROM (SELECT id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i
+                FROM w, (SELECT DISTINCT k FROM windows) WHERE len(ws) >= k)),
+        found AS (SELECT DISTINCT id, i, grams.k, item FROM grams JOIN windows USING (k, s)),
+        hit AS (SELECT id, count(DISTINCT j) AS n FROM (SELECT id, unnest(generate_series(i, i + k - 1)) AS j FROM found) GROUP BY id),
+        named AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM found) GROUP BY id)
+        SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(named.n, 0) AS BIGINT) AS n_items, sha256(coalesce(named.items, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+        FROM w LEFT JOIN hit USING (id) LEFT JOIN named USING (id)""",
 }

@@ -49,6 +49,15 @@ def worker_state(name: str, make):
     return states.kept
 
 
+def free_name(name: str, columns: Sequence[str]) -> str:
+    """``name``, or with a number after it if one of ``columns`` is called so in any case."""
+    taken, found, n = {c.lower() for c in columns}, name, 0
+    while found.lower() in taken:
+        n += 1
+        found = f"{name}_{n}"
+    return found
+
+
 def id_hash_mod(column: str, n: int) -> Column:
     """``crc32`` of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
