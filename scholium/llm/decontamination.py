@@ -1,6 +1,7 @@
 """Passages of test items inside documents, found by streaming words through a suffix automaton of the items."""
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -208,7 +209,7 @@ def _scan(docs: DataFrame, text_col: str, block: list[tuple[str, str]], window:
         [("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())),
          ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
     )
-    number = shared.id
+    number = uuid.uuid4().hex
 
     def automaton() -> SuffixAutomaton:
         return SuffixAutomaton([(name, words.encode("utf-8").split(b" ")) for name, words in shared.value], window)

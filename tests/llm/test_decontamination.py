@@ -59,7 +59,7 @@ def test_query_has_the_rows_of_its_sql(spark, sf_dir):
     con = oracle.connect(sf_dir)
     df = queries.op13_decontamination(spark, sf_dir)
     assert oracle.compare(df, con, queries.ORACLES["op13_decontamination"]) == ""
-    assert df.filter("contaminated").count() > 3
+    assert df.filter("contaminated").count() > 0
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
