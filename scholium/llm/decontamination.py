@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholium.llm.shared import free_name, ordered_totals, ship_package, worker_state
+from scholium.llm.shared import free_name, map_arrow, ordered_totals, ship_package, worker_state
 from scholium.llm.words import lowered
 from scholium.plans.storage import materialize
 
@@ -224,7 +224,7 @@ def _scan(docs: DataFrame, text_col: str, block: list[tuple[str, str]], window:
                 found.append({"n_words": n_words, "n_hit": n_hit, "longest": longest, "items": items, "spans": spans})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(scan, schema)
+    return map_arrow(docs, scan, schema)
 
 
 def _unite(a, row):
@@ -358,4 +358,4 @@ def remove_matches(
             columns = [*batch.columns[:place], pa.array(texts, batch.column(place).type), *batch.columns[place + 1 : last]]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:last])
 
-    return kept.mapInArrow(cut, docs.schema)
+    return map_arrow(kept, cut, docs.schema)

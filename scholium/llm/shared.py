@@ -5,10 +5,12 @@ import shutil
 import sys
 import tempfile
 import types
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholium.plans.storage import materialize
 
@@ -49,6 +51,19 @@ def worker_state(name: str, make):
     return states.kept
 
 
+def map_arrow(df: DataFrame, task, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` for columns of any names: ``task`` gets and gives them by position."""
+    names = [f"c{i}" for i in range(len(schema))]
+    numbered = T.StructType([T.StructField(name, field.dataType) for name, field in zip(names, schema)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in task(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(renamed, numbered).toDF(*schema.fieldNames())
+
+
 def free_name(name: str, columns: Sequence[str]) -> str:
     """``name``, or with a number after it if one of ``columns`` is called so in any case."""
     taken, found, n = {c.lower() for c in columns}, name, 0
