@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import conversations, decontamination, exact_dedup, fingerprints, language, language_model, mixing, ngram_join, packing, sharding, token_counts, toxicity
+from scholium.llm import alignment, conversations, decontamination, exact_dedup, fingerprints, language, language_model, mixing, ngram_join, packing, sharding, token_counts, toxicity
 from scholium.llm.shared import id_hash_mod
 from scholium.plans.storage import discard
 
@@ -105,6 +105,21 @@ def op10_language_model(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf).select("doc_id", "text")
+    scored = alignment.align_and_score(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return scored.select(
+        "doc_id",
+        "aligned.n_a",
+        "aligned.n_b",
+        "aligned.n_groups",
+        F.col("aligned.n_groups").alias("n_links"),
+        "n_best",
+        "count_sum",
+        "aligned.groups_sha256",
+    )
+
+
 def damaged_conversations(spark: SparkSession, sf: str) -> DataFrame:
     """The rows of ``conversations``, each with one kind of damage or none. Rows that the damage drops
     stay with ``present`` false and without their text."""
@@ -151,6 +166,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_language_model": op10_language_model,
+    "op11_alignment": op11_alignment,
     "op12_conversations": op12_conversations,
     "op13_decontamination": op13_decontamination,
 }

@@ -19,8 +19,8 @@ _PLACE = 40
 _PLACES = (1 << _PLACE) - 1
 
 # Fixed value: characters that any of the libraries takes for white space.
-_WHITE = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_AFTER_BLANK = [" " + chr(c) for c in _WHITE]
+WHITE = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_AFTER_BLANK = [" " + chr(c) for c in WHITE]
 _AFTER_BLANK_ASCII = [pair for pair in _AFTER_BLANK if pair.isascii()]
 
 
