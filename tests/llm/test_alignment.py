@@ -72,7 +72,6 @@ def test_units_give_the_tokens_of_the_whole(both, aligner, text):
     assert digest == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
     first, second = aligner.links.pairs()
     assert {(int(first[c]), int(second[c])): t for c, t in zip(codes, times)} == Counter(want[4])
-    assert "  " in text or "▁" in text or not text or n or not want[0]
 
 
 def check(rows, texts, tokens):
@@ -87,11 +86,9 @@ def check(rows, texts, tokens):
         assert row == (n_a, n_b, n, len(links), best, sum(counts[link] for link in links), digest)
 
 
-def test_query_against_the_libraries(spark, sf_dir, both):
+def test_query_against_the_libraries(spark, sf_dir, both, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("n_chars < 4000").orderBy("doc_id").collect()
-    import tempfile
-
-    folder = tempfile.mkdtemp()
+    folder = str(tmp_path)
     spark.createDataFrame(docs).write.parquet(f"{folder}/documents.parquet")
     rows = queries.op11_alignment(spark, folder).orderBy("doc_id").collect()
     assert [r["doc_id"] for r in rows] == [d["doc_id"] for d in docs]
