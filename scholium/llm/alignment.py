@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholium.llm.shared import free_name, map_arrow, ship_package, worker_state
-from scholium.llm.token_counts import WHITE, byte_letters
+from scholium.llm.token_counts import PATTERN, WHITE, byte_letters
 from scholium.plans.storage import materialize
 
-# Text that is taken apart at once, units that a worker remembers, and the longest of these.
+# Characters that are encoded at once.
 SEGMENT = 1 << 18
-UNITS_KEPT = 100_000
-LONGEST_KEPT = 200
 # Rows that are worked on at once after the tokenizers have run.
 SLICE = 2048
 
@@ -58,6 +56,17 @@ def _bytes_of_b(model) -> list[bytes]:
     ]
 
 
+def _ranks_of_a(path: str, entries: list[bytes]) -> dict[bytes, int] | None:
+    """Ids by bytes if the ids of all merges follow their order after the single bytes, else null."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(m)) for m in merges]
+    if model.get("byte_fallback") or model.get("dropout") or made != [*range(256, 256 + len(made))]:
+        return None
+    return {entry: i for i, entry in enumerate(entries[: 256 + len(made)])}
+
+
 class Links:
     """Numbers for all pairs of ids that a link can hold.
 
@@ -87,8 +96,9 @@ class Links:
 
     def encode(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Codes of the pairs of ids in ``a`` and ``b``."""
-        other = len(self.identity) + np.searchsorted(self.others, a * self.n_b + b)
-        return np.where(self.identity[a] == b, a, other).astype(np.int32)
+        codes, other = a.astype(np.int32), np.flatnonzero(self.identity[a] != b)
+        codes[other] = len(self.identity) + np.searchsorted(self.others, a[other] * self.n_b + b[other])
+        return codes
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids of A and B of every code; those of B are -1 where A's entry has no like."""
@@ -96,17 +106,29 @@ class Links:
         return a, np.concatenate([self.identity, self.others % self.n_b])
 
 
+def _digits(n_a: int, n_b: int) -> np.ndarray:
+    """The ids of A and of B as digits and the mark that follows each: a row for ``a,``, then for ``a|``,
+    ``b,`` and ``b;``. What a row does not need is zero."""
+    rows = [f"{i}{mark}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for mark in marks for i in range(n)]
+    return np.array(rows, "S").view(np.uint8).reshape(len(rows), -1)
+
+
 class Aligner:
     """Encodes texts with both tokenizers and cuts them where a token of each ends.
 
-    A text goes through unit by unit, and what is found for a unit is remembered. Units start at a
-    single blank or line feed between other characters. There A's pattern cuts, and no piece of B holds
-    a blank or a line feed after another character, so the units of a text have its tokens, and none
-    of its groups reaches from one unit into the next.
+    Texts go through in segments. Those start at a single blank or line feed between other
+    characters: there A's pattern cuts, and no piece of B holds a blank or a line feed after another
+    character, so the segments of a text have its tokens, and no group reaches from one into the next.
+
+    Where the ids of A follow the order of its merges, as they do when every merge has made the next
+    entry, a ranked encoder of the same entries takes the place of the library that reads the file:
+    it gives the same ids several times faster. Segments beyond twice the usual size, which
+    have no place to cut, always go through that library.
     """
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -114,86 +136,58 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a_bytes, self.b_bytes = _bytes_of_a(path_a), _bytes_of_b(self.b)
-        self.a_sizes, self.b_sizes = [*map(len, self.a_bytes)], [*map(len, self.b_bytes)]
+        self.a_sizes, self.b_sizes = (np.array([*map(len, entries)], np.int64) for entries in (self.a_bytes, self.b_bytes))
         self.links = Links(self.a_bytes, self.b_bytes)
+        self.digits = _digits(len(self.a_bytes), len(self.b_bytes))
+        ranks = _ranks_of_a(path_a, self.a_bytes)
+        self.ranked = ranks and tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.blank = self.b.piece_to_id("▁")
         white = "".join(map(chr, WHITE))
-        pieces = [p.decode("utf-8", "replace") for p in self.b_bytes]
-        breaks = "".join(c for c in " \n" if not any(c in p.lstrip(c) for p in pieces if len(p) > 1))
-        breaks = breaks.replace("\n", "") if any("\n" in p for p in pieces if len(p) > 1) else breaks
-        # A pattern that never matches leaves a text whole.
-        edge = f"(?<=[^{white}])(?=[{breaks}][^{white}])" if breaks else "(?!)"
-        self.edge = re.compile(edge)
-        self.young, self.old = {}, {}
-
-    def _encode_b(self, units: list[str]) -> list[list[int]]:
-        """Ids of the units. The library puts a blank before each; a unit that starts with another
-        character than a blank loses it again."""
-        spaced = [unit.startswith(" ") for unit in units]
-        found = self.b.encode([unit[1:] if own else unit for unit, own in zip(units, spaced)], num_threads=1)
-        return [ids if own or ids[:1] != [self.blank] else ids[1:] for ids, own in zip(found, spaced)]
-
-    def _align(self, a: list[int], b: list[int]) -> tuple[bytes, int, list[int], list[int]]:
-        """``(groups as text, their number, last ids of A, last ids of B)``."""
-        sizes_a, sizes_b = self.a_sizes, self.b_sizes
-        text, last_a, last_b = [], [], []
-        j, end_a, end_b, from_a, from_b = 0, 0, 0, 0, 0
-        for i, token in enumerate(a, 1):
-            end_a += sizes_a[token]
-            while end_b < end_a:
-                end_b += sizes_b[b[j]]
-                j += 1
-            if end_a == end_b:
-                text.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                last_a.append(token)
-                last_b.append(b[j - 1])
-                from_a, from_b = i, j
-        return ";".join(text).encode(), len(text), last_a, last_b
-
-    def _learn(self, units: list[str]) -> dict[str, tuple | None]:
-        """What is to be known of each unit: ``(n_a, n_b, n_groups, groups, codes)``; null where the
-        bytes of the tokens are not those of the unit."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        ids_b = self._encode_b(units)
-        found, kept, lasts_a, lasts_b = {}, [], [], []
-        for unit, a, b in zip(units, ids_a, ids_b):
-            coded = unit.encode("utf-8")
-            if b"".join([self.a_bytes[t] for t in a]) != coded or b"".join([self.b_bytes[t] for t in b]) != coded:
-                found[unit] = None
-                continue
-            groups, n, last_a, last_b = self._align(a, b)
-            kept.append((unit, len(a), len(b), n, groups))
-            lasts_a += last_a
-            lasts_b += last_b
-        codes = self.links.encode(np.array(lasts_a, np.int64), np.array(lasts_b, np.int64)).tobytes()
-        at = 0
-        for unit, n_a, n_b, n, groups in kept:
-            found[unit] = (n_a, n_b, n, groups, codes[at : at + 4 * n])
-            at += 4 * n
-        return found
-
-    def _known(self, units: list[str]) -> list[tuple | None]:
-        missing = {unit for unit in units if unit not in self.young}
-        extra = {}
-        for unit in [unit for unit in missing if unit in self.old]:
-            self.young[unit] = self.old[unit]
-            missing.discard(unit)
-        for unit, entry in self._learn(sorted(missing)).items() if missing else ():
-            (self.young if len(unit) <= LONGEST_KEPT else extra)[unit] = entry
-        young = self.young
-        found = [young[unit] if unit in young else extra[unit] for unit in units]
-        if len(young) > UNITS_KEPT:
-            self.young, self.old = {}, young
-        return found
-
-    def _segments(self, text: str) -> Iterator[list[str]]:
+        longer = [p.decode("utf-8", "replace") for p in self.b_bytes if len(p) > 1]
+        breaks = " " * (not any(" " in p.lstrip(" ") for p in longer)) + "\n" * (not any("\n" in p for p in longer))
+        # Where no place is safe the pattern never matches, and texts stay whole.
+        self.edge = re.compile(f"(?<=[^{white}])(?=[{breaks}][^{white}])" if breaks else "(?!)")
+
+    def _encode_a(self, segment: str) -> list[int]:
+        if self.ranked and len(segment) <= 2 * SEGMENT:
+            return self.ranked.encode_ordinary(segment)
+        return self.a.encode(segment, add_special_tokens=False).ids
+
+    def _encode_b(self, segment: str) -> list[int]:
+        """Ids of a segment. The library puts a blank before it; where the segment starts with another
+        character the blank goes again."""
+        if segment.startswith(" "):
+            return self.b.encode(segment[1:])
+        ids = self.b.encode(segment)
+        return ids[1:] if ids[:1] == [self.blank] else ids
+
+    def _segments(self, text: str) -> Iterator[str]:
         at = 0
         while at < len(text):
             edge = self.edge.search(text, at + SEGMENT) if len(text) - at > SEGMENT else None
             stop = edge.start() if edge else len(text)
-            yield self.edge.split(text[at:stop])
+            yield text[at:stop]
             at = stop
 
+    def _align(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """``(groups as text, each with a semicolon after it, codes of the links)``."""
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        marks = np.zeros((2, ends_a[-1] + 1), bool)
+        marks[0, ends_a] = marks[1, ends_b] = True
+        cuts_a, cuts_b = marks[1, ends_a], marks[0, ends_b]
+        last_a, last_b = np.flatnonzero(cuts_a), np.flatnonzero(cuts_b)
+        # A token stands after the tokens of its own side before it and those of the other side in
+        # earlier groups; in a group A comes first.
+        group_a, group_b = np.cumsum(cuts_a) - cuts_a, np.cumsum(cuts_b) - cuts_b
+        place_a = np.arange(len(a)) + np.concatenate([[0], last_b + 1])[group_a]
+        place_b = np.arange(len(b)) + (last_a + 1)[group_b]
+        n_a, n_b = len(self.a_bytes), len(self.b_bytes)
+        rows = np.empty(len(a) + len(b), np.int64)
+        rows[place_a] = a + n_a * cuts_a
+        rows[place_b] = b + 2 * n_a + n_b * cuts_b
+        digits = self.digits[rows].ravel()
+        return digits[digits != 0].tobytes(), self.links.encode(a[last_a], b[last_b])
+
     def align(self, text: str | None, keep_groups: bool) -> tuple:
         """The values of ``ALIGNED`` for one text."""
         none = (0, 0, 0, "" if keep_groups else None, "", np.empty(0, np.int32), np.empty(0, np.int32))
@@ -201,25 +195,22 @@ class Aligner:
             return none
         n_a = n_b = n_groups = 0
         digest, kept, parts, joint = hashlib.sha256(), [], [], b""
-        for units in self._segments(" " + text):
-            entries = self._known(units)
-            if None in entries:
+        for segment in self._segments(" " + text):
+            a, b, coded = self._encode_a(segment), self._encode_b(segment), segment.encode("utf-8")
+            if b"".join([self.a_bytes[t] for t in a]) != coded or b"".join([self.b_bytes[t] for t in b]) != coded:
                 return none
-            n_a += sum([e[0] for e in entries])
-            n_b += sum([e[1] for e in entries])
-            n_groups += sum([e[2] for e in entries])
-            groups = b";".join([e[3] for e in entries])
-            digest.update(joint + groups)
+            groups, codes = self._align(np.array(a, np.int64), np.array(b, np.int64))
+            n_a, n_b, n_groups = n_a + len(a), n_b + len(b), n_groups + len(codes)
+            digest.update(joint + groups[:-1])
+            joint = b";"
             if keep_groups:
                 kept.append(groups)
-            joint = b";"
-            codes = np.frombuffer(b"".join([e[4] for e in entries]), np.int32)
             parts.append(np.unique(codes, return_counts=True))
         codes, times = parts[0]
         if len(parts) > 1:
             codes, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             times = np.bincount(place, np.concatenate([p[1] for p in parts]), len(codes))
-        text_of_groups = b";".join(kept).decode() if keep_groups else None
+        text_of_groups = b"".join(kept)[:-1].decode() if keep_groups else None
         return n_a, n_b, n_groups, text_of_groups, digest.hexdigest(), codes, times.astype(np.int32)
 
 

@@ -58,14 +58,17 @@ def plain(tokens, text):
 PARTS = ["a", "Bc", "é", " ", "  ", "\n", "\n\n", "\t", "\x1c", "\x85", " ", "'s", "don't", "12", "中", "😀", "<|endoftext|>", "<s>", "<0x41>", "▁", "ﬁ", "é", "!", "...", "The", "\r\n"]
 
 
-@pytest.fixture(scope="module")
-def aligner():
-    return alignment.Aligner(A, B)
+@pytest.fixture(scope="module", params=[1, 1 << 18])
+def aligner(request):
+    patch = pytest.MonkeyPatch()
+    patch.setattr(alignment, "SEGMENT", request.param)
+    yield alignment.Aligner(A, B)
+    patch.undo()
 
 
 @settings(max_examples=600, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join) | st.text(max_size=20))
-def test_units_give_the_tokens_of_the_whole(both, aligner, text):
+def test_segments_give_the_tokens_of_the_whole(both, aligner, text):
     n_a, n_b, n, groups, digest, codes, times = aligner.align(text, True)
     want = plain(both, text)
     assert (n_a, n_b, n, groups) == want[:4]
@@ -107,3 +110,30 @@ def test_odd_rows(odd, none, both):
     sentence = Counter(long["groups"].split(";"))
     assert long["n_groups"] == sum(sentence.values()) and long["n_a"] >= 100_000
     assert long["groups_sha256"] == hashlib.sha256(long["groups"].encode()).hexdigest()
+
+
+def test_ranked_encoder_gives_the_ids_of_the_library(spark, aligner):
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        text = " " + r["text"]
+        assert aligner.ranked.encode_ordinary(text) == aligner.a.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 300_000, "a" * 300_000, "é\n" * 100_000, "ab " * 300_000, "!?" * 200_000])
+def test_long_runs(both, text):
+    aligner = alignment.Aligner(A, B)
+    assert aligner.align(text, True)[:4] == (*map(len, both(text)), *plain_fast(both, text))
+
+
+def plain_fast(tokens, text):
+    a, b = tokens(text)
+    cuts, groups = {end for _, end in a} & {end for _, end in b}, []
+    sides = [[], []]
+    for side, own in enumerate((a, b)):
+        held = []
+        for i, end in own:
+            held.append(str(i))
+            if end in cuts:
+                sides[side].append(",".join(held))
+                held = []
+    groups = [f"{x}|{y}" for x, y in zip(*sides)]
+    return len(groups), ";".join(groups)
