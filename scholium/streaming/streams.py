@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scholium.operators import retrieve, weighting
+from scholium.operators import index, retrieve
 from scholium.sources import library_table
 
 # Fixed value: the question that ends a session.
@@ -75,19 +75,17 @@ def askable(questions: DataFrame) -> DataFrame:
 
 
 def stream_questions(
-    questions: DataFrame, chunks: DataFrame, path: str, checkpoint: str, k: int = retrieve.DEFAULT_K
+    questions: DataFrame, asked: index.Index, path: str, checkpoint: str, k: int = retrieve.DEFAULT_K
 ) -> StreamingQuery:
-    """Answer arriving ``questions(qid, text)`` from a fixed library with ``evidence`` rows.
+    """Answer arriving ``questions(qid, text)`` from an indexed library with ``evidence`` rows.
 
     Ranking is not possible on a stream itself, so each micro-batch is ranked as a table and
-    written to a folder named by its batch.
+    written to a folder named by its batch. A batch reads the index; the library is not weighted
+    again.
     """
 
-    frequencies = weighting.document_frequencies(chunks)
-
     def answer(batch: DataFrame, batch_id: int) -> None:
-        hits = retrieve.topk_sparse(askable(batch), chunks, k, frequencies=frequencies)
-        hits.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        index.topk(askable(batch), asked, k).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
         questions.writeStream.foreachBatch(answer)
