@@ -1,16 +1,19 @@
 """Packing token sequences: best-fit decreasing, certified by lower bounds, repacked where they leave a gap."""
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.llm.shared import ship_package, worker_state
-from scholium.llm.token_counts import Memo
+from scholium.llm.token_counts import byte_letters
 from scholium.plans.storage import materialize
 
 CAPACITY = 4096
@@ -19,29 +22,79 @@ END_ID = 1
 PIECES_PER_TASK = 1 << 16
 ROUNDS = 3
 
+_SPACE = re.compile("[ \n]")
+_WORD = re.compile("[^ \t\n\v\f\r]+")
 _PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+# Fixed value: how the word tokenizer cuts lower-case text before merging.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+# Words, and runs in them, that a worker remembers, and the longest of these.
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 64
+
+
+class Recent(dict):
+    """Values by text, computed when missing. It holds the last ``limit`` to twice as many short texts."""
+
+    def __init__(self, compute, limit: int = REMEMBERED):
+        super().__init__()
+        self.compute, self.limit, self.old = compute, limit, {}
+
+    def __missing__(self, text: str) -> bytes:
+        value = self.old.get(text)
+        if value is None:
+            value = self.compute(text)
+        if len(text) <= LONGEST_REMEMBERED:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[text] = value
+        return value
+
+
 class WordIds:
-    """Token ids of texts as little-endian 32-bit numbers, looked up word by word.
+    """Token ids of texts as little-endian 32-bit numbers.
 
-    For tokenizers that drop white space and never look past it, as the lower-casing word-end kind
-    does: a text's ids are its words' ids one after another. Each distinct word goes through the
-    tokenizer itself, special strings included.
+    For tokenizers that compose and lower-case text, drop white space and merge the bytes of runs of
+    letters, of digits or of marks: a text's ids are its words' ids, and those are their runs' ids. A new run is
+    merged by the tokenizer's own model. Words with characters that composing might change, or that may hold special
+    strings, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Memo(self._encode, 400_000)
-
-    def _encode(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+        self.letters = dict(enumerate(byte_letters()))
+        self.cut = regex.compile(RUNS)
+        # Below U+0300 no character composes with others. Separators that libraries disagree on are left to the tokenizer.
+        self.other = re.compile("[^\x00-\x1b\x20-\x84\x86-\u02ff]|<\\|")
+        self.words, self.runs = Recent(self._word), Recent(self._run)
+
+    def _run(self, run: str) -> bytes:
+        spelled = run if run.isascii() else run.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.tokenizer.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.runs[word.lower()]
+        if self.other.search(word):
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.runs[run] for run in self.cut.findall(word.lower())])
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.encode("utf-8").split()))
+        return b"".join(map(self.words.__getitem__, _WORD.findall(text)))
+
+    def encode_parts(self, text: str, limit: int = 1 << 18) -> Iterator[bytes]:
+        """The same in parts, each from about ``limit`` characters up to the next white space."""
+        at = 0
+        while at < len(text):
+            edge = _SPACE.search(text, at + limit)
+            stop = edge.start() if edge else len(text)
+            yield self.encode(text[at:stop])
+            at = stop
 
 
 def cut_pieces(
@@ -57,7 +110,7 @@ def cut_pieces(
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
-                ids = encoder.encode(value.as_py() or "") + end
+                ids = b"".join([*encoder.encode_parts(value.as_py() or ""), end])
                 for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row.append(i)
