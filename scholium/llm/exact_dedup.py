@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.llm.radix import RadixTrie
-from scholium.llm.shared import ship_package, shuffle_partitions
+from scholium.llm.shared import on_plain_names, releasing, ship_package, shuffle_partitions
 from scholium.plans.skew import hot_keys, lookup
 from scholium.plans.storage import materialize
 
@@ -136,16 +136,16 @@ def find_copies(
     ship_package(spark)
     tag = F.col(tag_col) if tag_col else F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), F.col(text_col).alias("text"))
-    keys = rows.mapInArrow(_keys, "id long, tag long, n_bytes long, text_sha256 string")
+    keys = rows.mapInArrow(releasing(_keys), "id long, tag long, n_bytes long, text_sha256 string")
     # Written once: the tags stay the same in all later uses.
     keys = materialize(keys, "text-keys")
     local = rows.select("id", "text").mapInArrow(
-        _local_owners(largest, trie_bytes),
+        releasing(_local_owners(largest, trie_bytes)),
         "n_bytes long, text_sha256 string, data binary, keep long, keep_rows long, group_size long",
     )
     dealt = local.repartition(shuffle_partitions(spark), "n_bytes", "text_sha256").drop("n_bytes", "text_sha256")
     owners = dealt.mapInArrow(
-        _global_owners(largest, trie_bytes), "text_sha256 string, keep long, keep_rows long, group_size long"
+        releasing(_global_owners(largest, trie_bytes)), "text_sha256 string, keep long, keep_rows long, group_size long"
     )
     groups = materialize(owners.filter("group_size > 1"), "text-owners")
     found = lookup(keys, groups, hot_keys(groups, "group_size"), "text_sha256", null_keys=False)
@@ -202,6 +202,10 @@ def drop_copies(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     ``docs`` is read three times, so it should be a stored table.
     """
     mark = "__row_mark"
-    marked = docs.select(id_col, text_col, row_mark(id_col, text_col).alias(mark))
-    found = find_copies(marked, keep, id_col, text_col, mark).filter("group_size > 1")
-    return drop_rows(docs, found.select(F.col(id_col).alias("id"), F.col("tag").alias("mark"), "kept"), id_col, text_col)
+
+    def drop(docs: DataFrame) -> DataFrame:
+        marked = docs.select(id_col, text_col, row_mark(id_col, text_col).alias(mark))
+        found = find_copies(marked, keep, id_col, text_col, mark).filter("group_size > 1")
+        return drop_rows(docs, found.select(F.col(id_col).alias("id"), F.col("tag").alias("mark"), "kept"), id_col, text_col)
+
+    return on_plain_names(docs, [id_col, text_col], drop)

@@ -104,7 +104,7 @@ def fingerprint_with_next(docs: DataFrame, k: int = SKETCH_SIZE, id_col: str = "
     that its predecessor takes.
 
     A null text is empty. Null ids come first; rows that share an id stand in order of length and
-    hash. A row that repeats another's id and text is the same document and comes once. A table of
+    hash. Rows that repeat id and text are one document in this order, whose row comes as often as they do. A table of
     one document is its own successor. An empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -134,10 +134,12 @@ def fingerprint_with_next(docs: DataFrame, k: int = SKETCH_SIZE, id_col: str = "
         "next_sketch",
         k,
     ).select(F.col("__prev_k").alias("__k"), F.col("__prev_h").alias("__h"), "__opening", "next_sketch")
-    own = here.select("__k", "__h", "__id", "__chars", "__text").join(opening, ["__k", "__h"])
+    own = here.select("__k", "__h", "__id", "__chars", "__copies", "__text").join(opening, ["__k", "__h"])
     kept = F.substring("__text", F.lit(1), F.expr("CAST(__chars - __chars div 4 AS int)"))
     own = _once(own, edited=F.concat(kept, F.col("__opening")))
     own = fingerprint(fingerprint(own, "__text", "sketch", k), "edited", "edited_sketch", k)
+    # As many rows as came.
+    own = own.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return own.select(
         F.col("__id").alias(id_col), F.col("__chars").alias("n_chars"), "edited", "sketch", "edited_sketch", "next_sketch"
     )

@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scholium.llm.shared import ship_package
+from scholium.llm.shared import map_arrow, ship_package
 from scholium.plans.storage import materialize
 
 UNKNOWN = "und"
@@ -172,11 +173,12 @@ def predict(docs: DataFrame, network: ByteNetwork | None, text_col: str = "text"
     """Adds ``lang_pred`` and ``score`` to ``docs``: the mean of the windows' outputs, through softmax.
 
     A null text, and one without any letter, is ``und`` with score 0, and so is all text where
-    nothing was learned. Other columns pass through, so none may be named like the new ones.
+    nothing was learned. Rows pass one by one, repeated ones too, with all their columns, whatever these are called; the
+    two new ones come last, also where there are columns of their names already. An empty table gives no rows.
     """
     ship_package(docs.sparkSession)
     at_text = docs.columns.index(text_col)
-    schema = docs.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.tables() if network else None
@@ -191,7 +193,7 @@ def predict(docs: DataFrame, network: ByteNetwork | None, text_col: str = "text"
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(label, f"{schema}, lang_pred: string, score: double")
+    return map_arrow(docs, label, T.StructType([*docs.schema.fields, *added]))
 
 
 def _predict(network: ByteNetwork | None, tables: dict | None, texts: list) -> tuple[list[str], list[float]]:

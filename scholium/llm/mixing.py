@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.llm.fingerprints import BLANKS
-from scholium.llm.shared import SPACE, ordered_totals
+from scholium.llm.shared import SPACE, on_plain_names, ordered_totals
 from scholium.plans.skew import hot_keys, lookup
 from scholium.plans.storage import materialize
 
@@ -126,6 +126,10 @@ def mix_documents(
 
 def repeat_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = CAP, seed: int = 7) -> DataFrame:
     """``docs``, all columns, each row as often as the mix takes it; see ``mix_documents``."""
+    return on_plain_names(docs, ["doc_id", "text", "source"], lambda docs: _repeat(docs, weights, cap, seed))
+
+
+def _repeat(docs: DataFrame, weights: Sequence[float], cap: float, seed: int) -> DataFrame:
     tag = "__row_tag"
     tagged = materialize(docs.withColumn(tag, F.monotonically_increasing_id()), "tagged")
     mixed = mix_documents(tagged, weights, cap, seed, tag_col=tag).filter("copies > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scholium.llm.components import components
 from scholium.llm.exact_dedup import drop_rows, row_mark
-from scholium.llm.shared import ship_package, shuffle_partitions
+from scholium.llm.shared import on_plain_names, releasing, ship_package, shuffle_partitions
 from scholium.llm.shingles import shingle_sets
 from scholium.llm.words import lowered, mix
 from scholium.plans.skew import hot_keys, lookup
@@ -58,7 +58,7 @@ def frequency_levels(docs: DataFrame, width: int = WIDTH, bits: int = SKETCH_BIT
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), data], names=["block", "data"])
 
     schema = "block long, data binary"
-    parts = docs.select(text_col).mapInArrow(count, schema)
+    parts = docs.select(text_col).mapInArrow(releasing(count), schema)
     sums = parts.repartition(shuffle_partitions(docs.sparkSession), "block").mapInArrow(add, schema).toArrow()
     counts = np.zeros((1 << bits) // _BLOCK * _BLOCK, np.int64).reshape(-1, _BLOCK)
     for block, data in zip(sums.column(0).to_pylist(), sums.column(1), strict=True):
@@ -102,7 +102,7 @@ def prefixes(rows: DataFrame, levels: np.ndarray, width: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "set_key", "n", "group_key", "prefix"])
 
     schema = "id long, mark long, set_key long, n long, group_key long, prefix array<bigint>"
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(releasing(cut), schema)
 
 
 def _may_link(n: str, at: str, m: str, bt: str, percent: int) -> Column:
@@ -145,7 +145,7 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, width: int, perce
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
-    links = materialize(both.mapInArrow(compare, "a long, b long"), "links")
+    links = materialize(both.mapInArrow(releasing(compare), "a long, b long"), "links")
     discard(needed, texts)
     return links
 
@@ -267,6 +267,10 @@ def keep_first_of_component(docs: DataFrame, width: int = WIDTH, percent: int =
     """``docs``, all columns, with one row of every component of more than one row: that with the
     smallest id, and among texts with that id the one with the smallest hash. ``docs`` is read for
     every step on texts, so it should be a stored table. See ``link_documents``."""
+    return on_plain_names(docs, [id_col, text_col], lambda docs: _keep_first(docs, width, percent, id_col, text_col))
+
+
+def _keep_first(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     found = link_documents(docs, width, percent, id_col, text_col)
     found = materialize(found.filter("n_shingles > 0").select(F.col(id_col).alias("id"), "mark", "component"), "linked")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("mark"))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.shared import ship_package, worker_state
+from scholium.llm.shared import releasing, ship_package, worker_state
 from scholium.llm.token_counts import byte_letters
 from scholium.plans.storage import materialize
 
@@ -127,7 +127,7 @@ def cut_pieces(
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"id {kind}, {_PIECES}")
+    return rows.mapInArrow(releasing(cut), f"id {kind}, {_PIECES}")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +230,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_task: in
 
     def packed(rows: DataFrame, n: int, round_no: int) -> DataFrame:
         dealt = rows.repartition(max(1, -(-n // pieces_per_task)))
-        return materialize(dealt.mapInArrow(_pack(capacity, round_no), schema), f"packed-{round_no}")
+        return materialize(dealt.mapInArrow(releasing(_pack(capacity, round_no)), schema), f"packed-{round_no}")
 
     settled, current = None, packed(pieces, int(counts.sum()), 1)
     total = _bins(current)

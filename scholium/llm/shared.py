@@ -1,5 +1,7 @@
 """Running totals, column hygiene and code shipping shared by the operators."""
 
+import ctypes
+import gc
 import os
 import shutil
 import sys
@@ -37,6 +39,35 @@ def ship_package(spark: SparkSession) -> None:
     context._scholium_shipped = True
 
 
+def release_memory() -> None:
+    """Give back what this worker has freed. Workers outlive their tasks, and what they hold on to
+    counts against the tasks of the next job."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(task):
+    """``task`` for ``mapInArrow``, followed by ``release_memory``."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def on_plain_names(docs: DataFrame, named: Sequence[str], work) -> DataFrame:
+    """``work(docs)``, which returns the columns of ``docs``. All columns but the ``named`` ones have names on
+    the way that no operator uses and that need no quotes."""
+    plain = [c if c in named else f"column_{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*plain)).toDF(*docs.columns)
+
+
 def worker_state(name: str, make):
     """An object that a Python worker keeps between tasks, made on first use.
 
@@ -46,6 +77,7 @@ def worker_state(name: str, make):
     states = sys.modules.setdefault("scholium_worker_state", types.ModuleType("scholium_worker_state"))
     if getattr(states, "name", None) != name:
         states.name = states.kept = None
+        release_memory()
         states.kept = make()
         states.name = name
     return states.kept

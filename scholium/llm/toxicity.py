@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scholium.llm.shared import ship_package, worker_state
+from scholium.llm.shared import map_arrow, releasing, ship_package, worker_state
 from scholium.plans.storage import materialize
 
 # Labelled rows of each class that the classifier is fitted on, at most.
@@ -16,7 +17,7 @@ NGRAMS = (3, 4, 5)
 HASH_BITS = 22
 FEATURES = 8192  # numbered by 16-bit integers
 MIN_DOCUMENTS = 3
-_CHUNK_CHARS = 1 << 20
+_CHUNK_CHARS = 1 << 18
 # Rows whose n-grams are held at once, and counts sent on at once.
 _SLICE = 256
 _COUNTS_PER_BATCH = 1 << 18
@@ -119,6 +120,9 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     ``labelled`` is a bounded sample. Log-count ratios come from the document counts of every n-gram in
     it; the ``FEATURES`` n-grams whose ratio stands out most from chance are scaled by it and
     weighted by logistic regression. Only those reach the driver.
+
+    A null text is empty. Repeated rows count each time. Without rows of one class, the other is certain; without
+    any row, no text is toxic.
     """
     ship_package(labelled.sparkSession)
 
@@ -136,7 +140,7 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
             columns = [part, tally[1, part].astype(np.int64), tally[0, part].astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["feature", "toxic", "clean"])
 
-    sums = labelled.select("text", "label").mapInArrow(counts, "feature long, toxic long, clean long")
+    sums = labelled.select("text", "label").mapInArrow(releasing(counts), "feature long, toxic long, clean long")
     sums = sums.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sums = sums.filter(F.col("toxic") + F.col("clean") >= MIN_DOCUMENTS)
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -161,7 +165,7 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(at))
             yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["label", "present"])
 
-    sample = labelled.select("text", "label").mapInArrow(present, "label int, present array<smallint>").toArrow()
+    sample = labelled.select("text", "label").mapInArrow(releasing(present), "label int, present array<smallint>").toArrow()
     label = sample.column("label").to_numpy().astype(np.float64)
     lists = sample.column("present").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -172,7 +176,10 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text, label)``: for each class the ``per_class`` rows of ``labels(id, label)`` that come
-    first by a hash of the id. At most ``2 * per_class`` ids are broadcast to the texts."""
+    first by a hash of the id. At most ``2 * per_class`` ids are broadcast to the texts.
+
+    Rows of ``labels`` with a null id or a label other than 0 and 1 are left out; of several for one id the greater label counts.
+    Every row of ``docs`` with a chosen id is in the sample, null and empty texts too. Empty tables give an empty sample."""
     labels = labels.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     labels = labels.groupBy("id").agg(F.max("label").cast("int").alias("label"))
     order = [F.xxhash64(F.lit(11), F.col("id")), F.col("id")]
@@ -183,10 +190,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], out: str = "score", text_col: str = "text") -> DataFrame:
-    """Adds ``out``, the probability of label 1 of each whole text; other columns pass through."""
+    """Adds ``out``, the probability of label 1 of each whole text.
+
+    A null text is empty; an empty one has the probability that the intercept gives. Rows pass one by
+    one, repeated ones too, with all their columns, whatever these are called; ``out`` comes last, also where there is a column
+    of that name already. An empty table gives no rows.
+    """
     ship_package(docs.sparkSession)
     features, weights, intercept = model
-    schema = docs.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     at_text = docs.columns.index(text_col)
 
     def scored(batches):
@@ -200,4 +212,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], out: str
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(scored, f"{schema}, {out}: double")
+    return map_arrow(docs, releasing(scored), schema)
