@@ -9,15 +9,15 @@ that gets an empty table returns one.
 from pyspark.sql import DataFrame, SparkSession
 
 from scholium.llm import exact_dedup, mixing, ngram_join, packing, queries, toxicity
-from scholium.plans.storage import scratch_path
-
-SCORE = "__toxic_score"
+from scholium.llm.shared import free_name
+from scholium.plans.storage import discard, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 1/2. The classifier is fitted on their labelled rows, see ``toxicity_model``."""
-    scored = toxicity.score(docs, queries.toxicity_model(spark, sf_dir, docs), SCORE)
-    return scored.filter(f"{SCORE} < 0.5").drop(SCORE)
+    score = free_name("toxic_score", docs.columns)
+    scored = toxicity.score(docs, queries.toxicity_model(spark, sf_dir, docs), score)
+    return scored.filter(f"{score} < 0.5").drop(score)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents table, each written as Parquet and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages on the documents table, each written as Parquet and read again for the next. A stage's
+    table goes once the next one has been written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*held)
+        held = [docs]
+    return docs
