@@ -30,7 +30,7 @@ _PIECES = "piece int, start long, length long, ids_crc32 long"
 # Fixed value: how the word tokenizer cuts lower-case text before merging.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 # Words, and runs in them, that a worker remembers, and the longest of these.
-REMEMBERED, LONGEST_REMEMBERED = 100_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 64
 
 
 class Recent(dict):
