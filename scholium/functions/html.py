@@ -1,46 +1,21 @@
 """HTML expressions on regular expressions.
 
 They know the few elements the operators need and are not a general parser. Comments, scripts and
-styles are removed first, because markup quoted inside them must not count. Patterns use possessive
-quantifiers, so a malformed page costs linear time.
+styles are removed first, in one pass from left to right, because markup quoted inside them must not count and each may
+hold the marks of the others. Attributes are walked in order with their values. Patterns use
+possessive quantifiers, so pages with unclosed scripts, comments or tags cost linear time.
 """
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scholium.functions.arrays import bind
 
-# Named character references that are decoded.
-ENTITIES = {
-    "amp": "&",
-    "nbsp": " ",
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "middot": "·",
-    "copy": "©",
-    "reg": "®",
-    "trade": "™",
-    "deg": "°",
-    "plusmn": "±",
-    "times": "×",
-    "micro": "µ",
-    "le": "≤",
-    "ge": "≥",
-    "ndash": "–",
-    "mdash": "—",
-    "hellip": "…",
-    "lsquo": "‘",
-    "rsquo": "’",
-    "ldquo": "“",
-    "rdquo": "”",
-    "alpha": "α",
-    "beta": "β",
-    "gamma": "γ",
-    "delta": "δ",
-    "mu": "μ",
-}
+# Named character references that are decoded: those of HTML 4, and the few that may be written in capitals.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+ENTITIES |= {name.upper(): ENTITIES[name] for name in ("amp", "lt", "gt", "quot", "copy", "reg")}
 
 # Elements that start a new line when a page is shown.
 BLOCK_TAGS = (
@@ -48,18 +23,24 @@ BLOCK_TAGS = (
     "h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul"
 ).split()
 
-_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# A tag that is never closed ends where the next one begins.
+_ATTRIBUTES = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+
+
+# What stands between the name of a tag and an attribute: other attributes with their whole values.
+# Possessive throughout, so a tag is walked once and a name inside a value is no attribute.
+_BEFORE = r"""(?:[\s/]++|(?!(?<=[\s/"']){0}\s*=)[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+|["'=])*+(?<=[\s/"']){0}\s*=\s*"""
 
 
 def strip_hidden(html: Column) -> Column:
-    """Remove comments, scripts and styles."""
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    """Remove comments, scripts and styles, whichever begins first; one that never ends reaches to the end."""
+    hidden = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*+(?:>|\z).*?(?:</\1\s*>|\z)"
+    return F.regexp_replace(html, hidden, "")
 
 
 # One literal, so that the plan stays small however often text is decoded.
 _ENTITY_LIST = "\n".join(f"{name}\t{char}" for name, char in ENTITIES.items())
-_REFERENCE = "^&([A-Za-z]{2,8}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+_REFERENCE = "^&([A-Za-z][A-Za-z0-9]{1,7}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
 
 
 def _character(name: Column) -> Column:
@@ -96,7 +77,7 @@ def open_tag(*names: str) -> str:
 def open_tag_with(attribute: str, value: str, names: str = "[a-z][a-z0-9]*", word: bool = False) -> str:
     """Pattern of an opening tag whose attribute equals ``value`` (or has it as one ``word``)."""
     inner = rf"(?:[^\"']*\s)?{value}(?:\s[^\"']*)?" if word else value
-    return rf"(?i)<(?:{names})(?=\s)[^>]*?\s{attribute}\s*=\s*[\"']?{inner}[\"']?(?=[\s/>])[^>]*+>"
+    return rf"(?i)<(?:{names})(?=[\s/]){_BEFORE.format(attribute)}[\"']?{inner}[\"']?(?=[\s/>])[^>]*+>"
 
 
 def elements(html: Column, *names: str) -> Column:
@@ -110,7 +91,7 @@ def tag_name(element: Column) -> Column:
 
 def attribute(element: Column, name: str) -> Column:
     """Attribute value of one opening tag, as written; null when it is missing or empty."""
-    pattern = rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    pattern = rf"""(?i)^<[a-z0-9]++{_BEFORE.format(name)}("[^"]*"|'[^']*'|[^\s"'>]+)"""
     value = F.regexp_replace(F.regexp_extract(element, pattern, 1), "^[\"']|[\"']$", "")
     return bind(value, lambda v: F.when(v != "", v))
 
@@ -153,6 +134,12 @@ def _until_closed(pieces: Column, name: Column) -> Column:
 def text_of(html: Column) -> Column:
     """Visible text on one line: block tags separate words, other tags vanish."""
     blocks = "|".join(BLOCK_TAGS)
-    html = F.regexp_replace(html, rf"(?i)</?(?:{blocks})(?=[\s/>])[^>]*>", " ")
-    plain = bind(F.regexp_replace(html, r"<[^>]*>", ""), decode_entities)
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+    def without_tags(tagged: Column, rest: Column) -> Column:
+        spaced = F.regexp_replace(tagged, rf"(?i)</?(?:{blocks})(?=[\s/>])[^>]*>", " ")
+        return F.concat(F.regexp_replace(spaced, r"<[^>]*>", ""), rest)
+
+    # After the last closing bracket there are no tags, so none is looked for to the end.
+    tail = F.substring_index(html, ">", -1)
+    plain = bind(tail, lambda rest: without_tags(F.left(html, F.length(html) - F.length(rest)), rest))
+    return F.trim(F.regexp_replace(bind(plain, decode_entities), r"\s+", " "))

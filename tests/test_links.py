@@ -1,5 +1,7 @@
 """Pages: rules, hops, identifiers, text, result lists."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +156,64 @@ def test_attribute_forms(spark):
     cases = [("<a href='x'>", "x"), ("<a\nHREF = x>", "x"), ('<a data-href="y">', None), ('<a href="">', None)]
     df = spark.createDataFrame([(c[0],) for c in cases], "e string")
     assert [r[0] for r in df.select(hx.attribute(F.col("e"), "href")).collect()] == [c[1] for c in cases]
+
+
+@pytest.mark.parametrize(
+    "tag, name, value",
+    [
+        ('<a title="see href=/wrong here" href="/doi/pdf/right">', "href", "/doi/pdf/right"),
+        ("<a title='x href=\"/w\"' HREF = /right>", "href", "/right"),
+        ('<a data-href="/wrong" href="/right" href="/later">', "href", "/right"),
+        ('<a href title="t" href="/right">', "href", "/right"),
+        ('<a title="a"href="/right">', "href", "/right"),
+        ('<a class="x"/>', "href", None),
+        ('<a title="href=/wrong">', "href", None),
+        ("<a href=//cdn.example.net/1>", "href", "//cdn.example.net/1"),
+        ('<a "stray" href="/right">', "href", "/right"),
+        ('<a href="">', "href", None),
+    ],
+)
+def test_attributes_are_read_in_order(spark, tag, name, value):
+    assert spark.createDataFrame([(tag,)], "t string").select(hx.attribute(F.col("t"), name)).head()[0] == value
+
+
+def test_class_named_inside_another_value_does_not_count(spark):
+    pattern = hx.open_tag_with("class", "gs_r", "div", word=True)
+    rows = [('<div title="x class=gs_r y">', False), ('<div id="a" class="q gs_r">', True), ('<div data-class="gs_r">', False), ("<div class=gs_r>", True)]
+    for html, found in rows:
+        assert spark.createDataFrame([(html,)], "t string").select(F.col("t").rlike(pattern)).head()[0] is found
+
+
+@pytest.mark.parametrize(
+    "html, seen",
+    [
+        ('<script>"<!--"</script>this<script>"-->"</script>', "this"),
+        ("<!-- <script> -->this<!-- </script> -->", "this"),
+        ("a<style>b</style >c<STYLE>d</STYLE>e", "ace"),
+        ("a<script src=x>b", "a"),
+        ("a<!-- b", "a"),
+        ("a<script", "a"),
+        ("a<scripted>b", "a<scripted>b"),
+    ],
+)
+def test_hidden_parts_in_the_order_they_begin(spark, html, seen):
+    assert spark.createDataFrame([(html,)], "t string").select(hx.strip_hidden(F.col("t"))).head()[0] == seen
+
+
+def test_named_references(spark):
+    text = "&eacute; &rarr; &epsilon; &AMP; &frac12; &thetasym; &nosuch; &amp;amp; &#233;"
+    got = spark.createDataFrame([(text,)], "t string").select(hx.decode_entities(F.col("t"))).head()[0]
+    assert got == "é → ε & ½ ϑ &nosuch; &amp; é"
+
+
+@pytest.mark.parametrize("part", ["<script>", "<script", "<!--", "<style>x", "<a ", "<!-- <script> "])
+def test_malformed_pages_take_linear_time(spark, part):
+    def seconds(n):
+        pages = spark.createDataFrame([(1, "http://h/", part * n)], "page_id long, url string, html string")
+        start = time.perf_counter()
+        links.extract_links(pages).collect()
+        links.extract_main_text(pages).collect()
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert min(seconds(16_000) for _ in range(2)) < 4 * max(0.5, seconds(2_000))
