@@ -171,6 +171,56 @@ def follow_link_hops(
     return links
 
 
+def trace_links(
+    links: DataFrame, pages: DataFrame, hops: int, steps: Sequence[tuple] = (CITATION_META, FIRST_ANCHOR)
+) -> DataFrame:
+    """``(page_id, target, n_hops, ended)``: the last address that each of ``links(page_id, target)`` leads to.
+
+    The next address of a page is the first that one of ``steps`` finds on it. A trail is at its
+    ``end`` where no page has the address or the page names no other. It also ends before an
+    address that it has visited (``cycle``) and after ``hops`` pages (``limit``). A link without a
+    target is at its end.
+
+    Links with the same target share one trail. Each round moves the trails that still run by one
+    page and writes them as a table, with the addresses visited: at most ``hops`` for each. An
+    address where many trails meet is joined by broadcast, see ``skew.lookup``.
+    """
+    found = F.coalesce(*[_next_link(F.col("html"), step) for step in steps]).alias("next")
+    first = pages.select("url", F.struct("page_id", found).alias("n")).groupBy("url").agg(F.min("n").alias("n"))
+    addresses = materialize(first.filter("n.next IS NOT NULL").select(F.col("url").alias("at"), "n.next"), "addresses")
+    links = materialize(links.select("page_id", "target"), "links")
+    start = F.col("target")
+    targets = links.select("target").filter(start.isNotNull()).distinct()
+    running = materialize(targets.select(start.alias("start"), start.alias("at"), F.array(start).alias("visited")), "trails")
+
+    def stopped(trails: DataFrame, ended: Column) -> DataFrame:
+        n_hops = (F.size("visited") - 1).alias("n_hops")
+        return trails.select(F.col("start").alias("target"), F.col("at").alias("last"), n_hops, ended.alias("ended"))
+
+    parts = []
+    for _ in range(hops):
+        hot = addresses.join(F.broadcast(skew.frequent_keys(running, "at")), "at", "left_semi")
+        moved = skew.lookup(running, addresses, hot, "at", null_keys=False)
+        ended = F.when(F.col("next").isNull(), "end").when(F.array_contains("visited", F.col("next")), "cycle")
+        moved = materialize(moved.withColumn("ended", ended), "trails")
+        parts.append(stopped(moved.filter("ended IS NOT NULL"), F.col("ended")))
+        visited = F.array_append("visited", F.col("next")).alias("visited")
+        running = moved.filter("ended IS NULL").select("start", F.col("next").alias("at"), visited)
+        if running.isEmpty():
+            break
+    trails = stopped(running, F.lit("limit"))
+    for part in parts:
+        trails = trails.unionByName(part)
+    trails = materialize(trails, "trails")
+    hot = trails.join(F.broadcast(skew.frequent_keys(links, "target")), "target", "left_semi")
+    return skew.lookup(links, trails, hot, "target").select(
+        "page_id",
+        F.col("last").alias("target"),
+        F.coalesce("n_hops", F.lit(0)).alias("n_hops"),
+        F.coalesce("ended", F.lit("end")).alias("ended"),
+    )
+
+
 # Where identifiers stand on a landing page, and what surrounds a doi there.
 DOI_CLASS = "citation-doi"
 PMCID_ACTION = "PMCID"

@@ -29,6 +29,13 @@ HOP_HTML = """concat(html,
   CASE WHEN page_id % 5 = 0 THEN ''
        ELSE concat('<meta name="citation_pdf_url" content="https://hop.example.org/a+b/', page_id + 2, '">') END)"""
 
+# Each page leads to the next one, every seventh three pages back; every fifth has only the links of its own.
+TRAIL_HOPS = 4
+TRAIL_HTML = """concat(html, CASE WHEN page_id % 5 = 0 THEN '' ELSE concat(
+  '<meta name="citation_pdf_url" content="https://hop.example.org/a+b/',
+  CASE WHEN page_id % 7 = 6 THEN page_id - 3 ELSE page_id + 1 END, '">') END)"""
+TRAIL_START = f"CASE WHEN page_id % 11 <> 0 THEN {HOP_URL.format('page_id - page_id % 2')} END"
+
 CROSSWALK_HTML = """concat(html,
   CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('<span class="id citation-doi"> doi: 10.1000/', page_id, '. </span>') END,
   CASE WHEN page_id % 4 = 0 THEN '' ELSE concat('<a href="/pmc" data-ga-action="PMCID"> PMC', page_id, ' <b>open</b></a>') END)"""
@@ -78,6 +85,12 @@ def follow_link_hops(spark, sf):
     return links.follow_link_hops(links.embedded_target(pages), pages)
 
 
+def trace_links(spark, sf):
+    pages = _pages(spark, sf, HOP_URL.format("page_id"), TRAIL_HTML)
+    started = table(spark, sf, "pages").select("page_id", F.expr(TRAIL_START).alias("target"))
+    return links.trace_links(started, pages, TRAIL_HOPS)
+
+
 def identifier_crosswalk(spark, sf):
     return links.identifier_crosswalk(_pages(spark, sf, html=CROSSWALK_HTML))
 
@@ -178,6 +191,7 @@ QUERIES = {
     "extract_links": extract_links,
     "resolve_fulltext_link": resolve_fulltext_link,
     "follow_link_hops": follow_link_hops,
+    "trace_links": trace_links,
     "identifier_crosswalk": identifier_crosswalk,
     "extract_main_text": extract_main_text,
     "extract_main_text_layouts": _layouts,
@@ -221,6 +235,9 @@ _LANDING_LINKS = _elements(
 _HOP_LINKS = _elements(
     f"SELECT page_id, {HOP_URL.format('page_id')} AS url, {HOP_HTML} AS html FROM pages", "a|meta|input"
 )
+_TRAIL_LINKS = _elements(
+    f"SELECT page_id, {HOP_URL.format('page_id')} AS url, {TRAIL_HTML} AS html FROM pages", "a|meta"
+)
 _BLOCK_TAGS = (
     "address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|"
     "main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
@@ -298,6 +315,24 @@ anchors AS (SELECT url, href AS next FROM links WHERE tag = 'a'
             QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) = 1)
 SELECT s.page_id, a.next AS target
 FROM start s LEFT JOIN metas m ON m.url = s.target LEFT JOIN anchors a ON a.url = m.next""",
+    "trace_links": f"""
+WITH RECURSIVE {_TRAIL_LINKS},
+start AS (SELECT page_id, {TRAIL_START} AS target FROM pages),
+metas AS (SELECT url, content AS next FROM links WHERE tag = 'meta' AND name = 'citation_pdf_url'
+          QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) = 1),
+anchors AS (SELECT url, href AS next FROM links WHERE tag = 'a'
+            QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) = 1),
+nexts AS (SELECT url, coalesce(m.next, a.next) AS next FROM metas m FULL JOIN anchors a USING (url)
+          WHERE coalesce(m.next, a.next) IS NOT NULL),
+walk AS (
+  SELECT page_id, target, [target] AS visited, 0 AS n FROM start WHERE target IS NOT NULL
+  UNION ALL
+  SELECT page_id, next, list_append(visited, next), n + 1 FROM walk w JOIN nexts ON url = target
+  WHERE n < {TRAIL_HOPS} AND NOT list_contains(visited, next)),
+last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC) = 1)
+SELECT s.page_id, l.target, CAST(coalesce(n, 0) AS INTEGER) AS n_hops,
+       CASE WHEN n = {TRAIL_HOPS} THEN 'limit' WHEN next IS NOT NULL THEN 'cycle' ELSE 'end' END AS ended
+FROM start s LEFT JOIN last l USING (page_id) LEFT JOIN nexts x ON x.url = l.target""",
     "identifier_crosswalk": """
 SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN '10.1000/' || page_id END AS doi,
        CASE WHEN page_id % 4 <> 0 THEN 'PMC' || page_id END AS pmcid

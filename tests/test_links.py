@@ -67,6 +67,50 @@ def test_hops(spark):
     assert {r.page_id: r.target for r in got} == {0: "https://z.org/final.pdf", 1: None, 2: None, 3: None, 4: None, 5: None}
 
 
+def _follows(spark, *pairs):
+    """Pages at the first address of each pair that name the second; no address, no anchor."""
+    return _pages(spark, *[(url, f'<a href="{to}">x</a>' if to else "<p>x</p>") for url, to in pairs])
+
+
+TRAILS = [
+    (0, ("b", 1, "end")),
+    (1, ("b", 1, "end")),
+    (2, ("d", 1, "cycle")),
+    (3, ("s", 0, "cycle")),
+    (4, ("n2", 3, "limit")),
+    (5, ("nowhere", 0, "end")),
+    (6, (None, 0, "end")),
+    (7, ("f", 1, "end")),
+]
+
+
+def test_trails(spark):
+    pages = _follows(
+        spark, ("a", "b"), ("b", None), ("c", "d"), ("d", "c"), ("s", "s"), ("m", "n0"), ("n0", "n1"), ("n1", "n2"), ("n2", "n3"),
+        ("e", "f"), ("e", "g"),
+    )
+    starts = ["a", "a", "c", "s", "m", "nowhere", None, "e"]
+    started = spark.createDataFrame(list(enumerate(starts)), "page_id long, target string")
+    got = {r.page_id: (r.target, r.n_hops, r.ended) for r in links.trace_links(started, pages, 3).collect()}
+    assert got == dict(TRAILS)
+
+
+def test_trails_prefer_the_first_step(spark):
+    pages = _pages(spark, ("a", '<a href="x">x</a><meta name="citation_pdf_url" content="b">'))
+    started = spark.createDataFrame([(0, "a")], "page_id long, target string")
+    assert links.trace_links(started, pages, 9).head()[:] == (0, "b", 1, "end")
+    assert links.trace_links(started, pages, 9, [links.FIRST_ANCHOR]).head().target == "x"
+    assert links.trace_links(started, pages, 0).head()[:] == (0, "a", 0, "limit")
+    assert links.trace_links(started.limit(0), pages.limit(0), 2).collect() == []
+
+
+def test_many_links_share_a_trail(spark):
+    pages = _follows(spark, *[(f"u{i}", f"u{i + 1}") for i in range(4)])
+    started = spark.range(5000).selectExpr("id AS page_id", "CASE WHEN id % 10 = 0 THEN concat('u', id % 3) ELSE 'u0' END AS target")
+    got = links.trace_links(started, pages, 9).groupBy("target", "n_hops", "ended").count().collect()
+    assert sorted(r["count"] for r in got) == [166, 167, 4667] and {r.target for r in got} == {"u4"}
+
+
 def test_crosswalk(spark):
     pages = _pages(
         spark,
