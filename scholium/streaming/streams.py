@@ -5,10 +5,11 @@ written so that a batch that runs again replaces what it wrote before.
 """
 
 import hashlib
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from scholium.operators import index, retrieve
 from scholium.sources import library_table
@@ -16,6 +17,9 @@ from scholium.sources import library_table
 # Fixed value: the question that ends a session.
 STOP_WORD = "exit"
 SALTS = 64
+SESSION_SALTS = 16
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -74,6 +78,64 @@ def askable(questions: DataFrame) -> DataFrame:
     return questions.filter((F.length("text") > 0) & (F.col("text") != STOP_WORD))
 
 
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` whose streams keep their state in RocksDB, as ``session_questions`` needs."""
+    session = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(name, spark.conf.get(name))
+    session.conf.set(STATE_STORE, ROCKSDB)
+    return session
+
+
+def _session_end():
+    """The state of a session: the turn that ended it. Made here so that it travels by value."""
+
+    class SessionEnd(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.ended = handle.getValueState("ended", "turn long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator:
+            before = self.ended.get()[0] if self.ended.exists() else None
+            end, waiting = before, []
+            for part in rows:
+                stops = part.loc[part["stop"], "turn"]
+                if len(stops):
+                    end = int(stops.min()) if end is None else min(end, int(stops.min()))
+                waiting.append(part[~part["stop"]])
+            if end != before:
+                self.ended.update((end,))
+            for part in waiting:
+                open_rows = part if end is None else part[part["turn"] < end]
+                yield open_rows[["qid", "session", "turn", "text"]]
+
+        def close(self) -> None:
+            pass
+
+    return SessionEnd()
+
+
+def session_questions(questions: DataFrame) -> DataFrame:
+    """``(qid, session, turn, text)`` of the arriving ``questions`` of the same columns that may be asked.
+
+    The stop word ends its session: questions of that turn and of later turns get no answer, in
+    its batch and in all batches after. Empty questions are refused. Rows without a session are one
+    session; a row without a turn comes before all turns. A question that arrives before the stop
+    word has been let through, whatever its turn.
+
+    State is one number per (ended session, salt), and none for sessions that go on. Questions of a session are
+    spread over salts by their id, and its stop words go to every salt, so a long session is many
+    tasks' work. A task holds the questions of one session, salt and batch.
+    """
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63)))
+    stop = F.col("text") == STOP_WORD
+    kept = questions.filter(F.length("text") > 0).select("qid", "session", turn.alias("turn"), "text", stop.alias("stop"))
+    own = F.array(F.pmod(F.xxhash64("qid"), F.lit(SESSION_SALTS)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(SESSION_SALTS - 1))
+    spread = kept.withColumn("salt", F.explode(F.when(F.col("stop"), every).otherwise(own)))
+    asked = kept.select("qid", "session", "turn", "text").schema
+    return spread.groupBy("session", "salt").transformWithStateInPandas(_session_end(), asked, "Append", "None")
+
+
 def stream_questions(
     questions: DataFrame, asked: index.Index, path: str, checkpoint: str, k: int = retrieve.DEFAULT_K
 ) -> StreamingQuery:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scholium.operators import index, retrieve
 from scholium.plans.storage import scratch_path
 from scholium.sources import library_table
 from scholium.streaming import streams
@@ -61,3 +62,51 @@ def test_dedup_with_time(spark):
 def test_askable(spark, rows):
     df = spark.createDataFrame([(1, "why"), (2, ""), (3, "exit"), (4, None)], "qid long, text string")
     assert rows(streams.askable(df)) == [(1, "why")]
+
+
+ARRIVING = "qid long, session string, turn long, text string"
+FIRST_BATCH = [
+    (1, "a", 0, "one"), (2, "a", 1, "exit"), (3, "a", 1, "same turn"), (4, "a", 2, "later"),
+    (5, "b", 0, ""), (6, "b", 1, None), (7, "b", 2, "goes on"), (8, None, 0, "no session"), (9, "c", None, "no turn"),
+]
+SECOND_BATCH = [
+    (11, "a", 9, "after the end"), (12, "a", 0, "came late"), (13, "b", 3, "exit"), (14, "b", 3, "x"), (15, "b", 2, "y"),
+    (16, "c", None, "exit"), (17, "c", 5, "z"), (18, None, 4, "exit"), (19, None, 5, "w"), (20, "d", 0, "exit later? no"),
+]
+
+
+def test_sessions_end_for_good(spark, rows):
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
+    session = streams.stateful_session(spark)
+
+    def run():
+        asked = streams.session_questions(streams.read_stream(session, folder, ARRIVING, max_files=1))
+        streams.write_table(asked, out, checkpoint).awaitTermination()
+        return [r[0] for r in rows(spark.read.parquet(out).select("qid"))]
+
+    _land(spark, folder, *FIRST_BATCH, schema=ARRIVING)
+    assert sorted(run()) == [1, 7, 8, 9]
+    assert sorted(run()) == [1, 7, 8, 9]
+    _land(spark, folder, *SECOND_BATCH, schema=ARRIVING)
+    assert sorted(run()) == [1, 7, 8, 9, 12, 15, 20]
+
+
+def test_long_session_is_spread_and_ends(spark):
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
+    turns = spark.range(20_000).selectExpr("id AS qid", "'s' AS session", "id AS turn", "if(id = 15000, 'exit', concat('q', id)) AS text")
+    turns.coalesce(1).write.parquet(folder)
+    asked = streams.session_questions(streams.read_stream(streams.stateful_session(spark), folder, turns.schema))
+    streams.write_table(asked, out, checkpoint).awaitTermination()
+    got = spark.read.parquet(out).agg(F.count("qid"), F.max("qid"), F.count_distinct("qid")).head()
+    assert got[:] == (15_000, 14_999, 15_000)
+
+
+def test_sessions_are_answered_from_an_index(spark, rows):
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
+    chunks = spark.createDataFrame([("a", 1, "red fox"), ("b", 1, "blue whale")], "source string, chunk_no int, text string")
+    session = streams.stateful_session(spark)
+    _land(spark, folder, (1, "s", 0, "fox"), (2, "s", 1, "exit"), (3, "s", 2, "whale"), (4, "t", 0, "whale"), schema=ARRIVING)
+    asked = streams.session_questions(streams.read_stream(session, folder, ARRIVING)).select("qid", "text")
+    streams.stream_questions(asked, index.build_index(chunks, scratch_path(spark, "index")), out, checkpoint).awaitTermination()
+    questions = spark.createDataFrame([(1, "fox"), (4, "whale")], "qid long, text string")
+    assert rows(spark.read.parquet(out).drop("batch")) == rows(retrieve.topk_sparse(questions, chunks))
