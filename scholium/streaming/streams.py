@@ -63,6 +63,32 @@ def stream_dedup(
     return keys.dropDuplicatesWithinWatermark(["dockey", "salt"]).select("dockey", by_time).dropDuplicatesWithinWatermark(["dockey"])
 
 
+def stream_new_documents(
+    docs: DataFrame, known: DataFrame, by_time: str, delay: str = "1 day", spread_by: str = "source"
+) -> DataFrame:
+    """``(dockey, time)``: the key of each arriving text that neither ``known(dockey)`` nor the stream had before.
+
+    ``known`` is a table, such as the keys of a library, as it was when the stream was started. The
+    stream remembers keys for ``delay`` past their time, so state is bounded by what arrives in
+    that span, however long it runs: a later copy is only left out if it is known by then. A row that is
+    itself later than ``delay`` is left out; a row without text has no key.
+
+    Copies are dropped per (key, salt) first, see ``stream_dedup``, so at most one row per salt of
+    each key meets the table. In a ``stateful_session`` the keys lie on disk.
+    """
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).alias("salt")
+    keys = docs.filter(F.col("text").isNotNull()).select(F.md5("text").alias("dockey"), salt, by_time)
+    first = keys.withWatermark(by_time, delay).dropDuplicatesWithinWatermark(["dockey", "salt"])
+    new = first.join(known.select("dockey"), "dockey", "left_anti")
+    return new.select("dockey", by_time).dropDuplicatesWithinWatermark(["dockey"])
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """How many keys a stream remembers after its last batch, over all of its stateful steps."""
+    progress = query.lastProgress
+    return sum(step["numRowsTotal"] for step in progress["stateOperators"]) if progress else 0
+
+
 def write_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to a Parquet table."""
     return (

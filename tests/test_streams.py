@@ -59,6 +59,42 @@ def test_dedup_with_time(spark):
     assert spark.read.parquet(out).count() == 1
 
 
+TIMED = "source string, text string, at timestamp"
+
+
+def _arrive(spark, folder, day, *texts):
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], DOCS).selectExpr("*", f"timestamp'2024-01-{day} 00:00:00' AS at")
+    rows.coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_new_documents_restart_and_forget(spark, rows):
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
+    session = streams.stateful_session(spark)
+    known = session.sql("SELECT md5('k') AS dockey UNION ALL SELECT NULL")
+    keys = {t: spark.sql(f"SELECT md5('{t}')").head()[0] for t in "kxyzw"}
+    names = {key: t for t, key in keys.items()}
+
+    def run():
+        stream = streams.read_stream(session, folder, TIMED, max_files=1)
+        query = streams.write_table(streams.stream_new_documents(stream, known, "at", "1 hour"), out, checkpoint)
+        query.awaitTermination()
+        return "".join(sorted(names[r[0]] for r in rows(spark.read.parquet(out).select("dockey")))), streams.state_rows(query)
+
+    _arrive(spark, folder, "01", "x", "x", "k", "k", "y", None)
+    got, held = run()
+    assert got == "xy" and held >= 2
+    _arrive(spark, folder, "01", "x", "k")
+    assert run()[0] == "xy"
+    _arrive(spark, folder, "10", "z", "k", "z")
+    assert run()[0] == "xyz"
+    # A row nine days late is left out; a copy after the span counts as new unless it is known.
+    _arrive(spark, folder, "01", "w")
+    assert run()[0] == "xyz"
+    _arrive(spark, folder, "20", "x", "k")
+    got, held = run()
+    assert got == "xxyz" and held <= 4
+
+
 def test_askable(spark, rows):
     df = spark.createDataFrame([(1, "why"), (2, ""), (3, "exit"), (4, None)], "qid long, text string")
     assert rows(streams.askable(df)) == [(1, "why")]
