@@ -26,13 +26,18 @@ def explode_id_list(spark, sf):
     return id_lists.explode_id_list(lists, "list").select("doc_id", "pos", "pmid")
 
 
+def _lines(content):
+    text = F.decode(content, "utf-8")
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def scan_corpus(spark, sf):
     path = scratch_path(spark, "corpus")
-    table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(path)
+    table(spark, sf, "documents").select("source", "text").write.option("maxRecordsPerFile", 1000).partitionBy("source").text(path)
     files = corpus.scan_corpus(spark, f"{path}/*")
     folder = F.substring_index(F.substring_index("source", "/", -2), "/", 1)
     return files.groupBy(F.replace(folder, F.lit("source="), F.lit("")).alias("folder")).agg(
-        F.sum("length").alias("n_bytes")
+        F.sum("length").alias("n_bytes"), F.sum(_lines(F.col("content"))).alias("n_lines")
     )
 
 
@@ -102,7 +107,9 @@ SELECT doc_id, 0 AS pos, CAST(doc_id AS VARCHAR) AS pmid FROM documents
 UNION ALL SELECT doc_id, 1, source FROM documents
 UNION ALL SELECT doc_id, 2, lang FROM documents""",
     "scan_corpus": """
-SELECT source AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY source""",
+SELECT source AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes,
+       CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines
+FROM documents GROUP BY source""",
     "scan_corpus_table": """
 SELECT doc_id AS source, CAST(length(text) AS INTEGER) AS n FROM documents WHERE n_chars >= 100 AND length(text) > 0""",
     "write_id_list": """
