@@ -114,6 +114,34 @@ def _may_link(n: str, at: str, m: str, bt: str, percent: int) -> Column:
     )
 
 
+def _sharing(known: DataFrame, percent: int) -> DataFrame:
+    """``(g, h)``: groups of ``known(shingle, group_key, n, at, low, high)`` that share a prefix shingle, may
+    link by sizes and places, and do not lie in one component together.
+
+    A set of ``n`` shingles whose shared one stands at ``at`` may link with sets of at most ``reach`` shingles.
+    Of a pair the smaller set is looked up by the larger one, so only places with ``reach >= n`` are looked up
+    at all: the first ninth of a set at 80 percent. A passage that many texts share stands behind their own
+    rarer shingles in all but the texts that hold little else, so it makes no pairs of the others. Sizes are in
+    bands as wide as the sizes that can link, so a larger set meets one or two bands.
+    """
+    base = max(100 / percent, 1.1)
+    band = lambda size: F.floor(F.log(size.cast("double")) / F.log(F.lit(base))).cast("int")
+    reach = F.expr(f"((100 + {percent}) * (n - at)) div {percent} - n")
+    least = F.expr(f"({percent} * n + 99) div 100")
+    known = known.withColumn("reach", reach)
+    looked_up = known.filter("reach >= n").withColumn("band", band(F.col("n"))).alias("l")
+    sizes = known.withColumns({"lo": least, "hi": F.least("n", "reach")}).filter("lo <= hi")
+    asking = sizes.withColumn("band", F.explode(F.sequence(band(F.col("lo")), band(F.col("hi"))))).alias("r")
+    met = looked_up.join(
+        asking,
+        (F.col("l.shingle") == F.col("r.shingle"))
+        & (F.col("l.band") == F.col("r.band"))
+        & F.expr("l.n BETWEEN r.lo AND r.hi AND r.n <= l.reach AND (l.n < r.n OR l.group_key < r.group_key)")
+        & F.expr("NOT (l.low = l.high AND r.low = r.high AND l.low = r.low)"),
+    )
+    return met.select(F.col("l.group_key").alias("g"), F.col("r.group_key").alias("h")).distinct()
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -220,17 +248,13 @@ def link_documents(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")
     )
     known = postings.join(groups, "group_key").select("shingle", "group_key", "n", "at", "low", "high")
-    open_ = known.groupBy("shingle").agg(F.min("low").alias("__low"), F.max("high").alias("__high")).filter("__low <> __high")
+    # Shingles of several components that stand far enough in front of some set, see _sharing.
+    front = F.max(F.expr(f"(100 + {percent}) * (n - at) >= 2 * {percent} * n")).alias("__front")
+    open_ = known.groupBy("shingle").agg(F.min("low").alias("__low"), F.max("high").alias("__high"), front)
+    open_ = open_.filter("__low <> __high AND __front")
     known = materialize(known.join(open_.select("shingle"), "shingle"), "open-postings")
     discard(postings)
-    left, right = known.alias("l"), known.alias("r")
-    rest = left.join(
-        right,
-        (F.col("l.shingle") == F.col("r.shingle"))
-        & (F.col("l.group_key") < F.col("r.group_key"))
-        & ~((F.col("l.low") == F.col("l.high")) & (F.col("r.low") == F.col("r.high")) & (F.col("l.low") == F.col("r.low")))
-        & _may_link("l.n", "l.at", "r.n", "r.at", percent),
-    ).select(F.col("l.group_key").alias("g"), F.col("r.group_key").alias("h")).distinct()
+    rest = _sharing(known, percent)
     # Members of one group are pairs too, where its members are in several components.
     split = groups.filter("low <> high").select(F.col("group_key").alias("g"), F.col("group_key").alias("h"))
     rest = rest.unionByName(split)

@@ -110,3 +110,23 @@ def test_near_copies_of_odd_rows(odd, none):
     assert left.columns == odd.columns
     assert sorted(r["doc_id"] for r in left.filter("doc_id IS NOT NULL").collect()) == [1, 4, 5, 6, 7, 8, 9, 12]
     assert ngram_join.link_documents(none).count() == 0 and ngram_join.keep_first_of_component(none).count() == 0
+
+
+@pytest.mark.parametrize("percent", [60, 80, 100])
+def test_shared_shingles_pair_what_may_link(spark, percent):
+    rng = random.Random(percent)
+    rows = [(rng.randrange(4), g, n, rng.randrange(n - (percent * n + 99) // 100 + 1), g % 5, g % 5) for g, n in enumerate([rng.randrange(1, 60) for _ in range(120)])]
+    want = set()
+    for x, g, n, at, low, _ in rows:
+        for y, h, m, bt, other, _ in rows:
+            fits = 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * min(n - at, m - bt) >= percent * (n + m)
+            if x == y and g < h and low != other and fits:
+                want.add((g, h))
+    known = spark.createDataFrame(rows, "shingle long, group_key long, n long, at int, low long, high long")
+    got = [tuple(sorted(r)) for r in ngram_join._sharing(known, percent).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_shared_passage_makes_no_pairs(spark):
+    known = spark.range(3000).selectExpr("7L shingle", "id group_key", "66 + id % 9 n", "12 + id % 9 at", "id low", "id high")
+    assert ngram_join._sharing(known, 80).count() == 0
