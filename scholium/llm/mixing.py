@@ -52,7 +52,13 @@ def targets(sources: DataFrame, total: Column | None = None, cap: float = CAP) -
     return placed.select(*sources.columns, target.alias("target"))
 
 
-def mix(rows: DataFrame, sources: DataFrame, seed: int = 7, weight_col: str | None = None) -> DataFrame:
+def length_odds(size: Column, mean: Column) -> Column:
+    """Factor of a document's inclusion odds by its size: 2 for an empty one, 1 at the mean, towards 0 for very
+    long ones. A very long document then seldom stands where a source reaches its target, which it would miss widely."""
+    return F.coalesce(2 * mean / F.nullif(size + mean, F.lit(0.0)), F.lit(1.0))
+
+
+def mix(rows: DataFrame, sources: DataFrame, seed: int = 7, weight_col: str | None = None, by_length: bool = False) -> DataFrame:
     """Adds ``source_size``, ``target`` and ``copies`` to ``rows(source, size, mark, ...)``.
 
     Every document gets the whole part of target / source size as certain copies. The words still
@@ -60,14 +66,16 @@ def mix(rows: DataFrame, sources: DataFrame, seed: int = 7, weight_col: str | No
     ``u / (1 - u)`` divided by their inclusion odds, and taken in that order until their words come
     nearest to what lacks, so a source misses its target by at most half a document. ``u`` is a
     hash of ``mark`` and ``seed``: reruns agree, also after lost executors. ``weight_col`` names a
-    positive factor of a document's inclusion odds; without it the documents of a source are alike.
+    positive factor of a document's inclusion odds; ``by_length`` takes ``length_odds`` for it; without
+    either the documents of a source are alike.
 
     Documents of a large source are ranked in many ranges at once, see ``ordered_totals``.
     Sources of which many rows are meet them by broadcast, see ``hot_keys``.
     """
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
     table = ordered_totals(sources.withColumn("__source_key", key), [F.col("__source_key")], ["source_size"]).select(
-        "__source_key", "source_size", "target", "rows", F.col("before_source_size").alias("__start")
+        "__source_key", "source_size", "target", "rows", F.col("before_source_size").alias("__start"),
+        (F.col("source_size") / F.col("rows")).alias("__mean"),
     )
     table = materialize(table, "targets")
     hot = hot_keys(table, "rows").drop("rows")
@@ -76,10 +84,10 @@ def mix(rows: DataFrame, sources: DataFrame, seed: int = 7, weight_col: str | No
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mark"), 11).cast("double") + 0.5) / F.lit(2.0**53)
     known = known.withColumns({"__certain": F.floor(expected), "__part": expected - F.floor(expected), "__u": uniform})
-    own = F.col(weight_col) if weight_col else F.lit(1.0)
+    own = F.col(weight_col) if weight_col else length_odds(F.col("size"), F.col("__mean")) if by_length else F.lit(1.0)
     inclusion = F.col("__part") / (1 - F.col("__part")) * own
     rank = F.when(inclusion > 0, F.col("__u") / (1 - F.col("__u")) / inclusion)
-    known = known.withColumn("__rank", rank).drop("__u", "__part")
+    known = known.withColumn("__rank", rank).drop("__u", "__part", "__mean")
     order = [F.col("__source_key"), F.col("__rank"), F.col("mark"), F.col("size")]
     placed = ordered_totals(known, order, ["size"])
     lacking = F.col("target") - F.col("__certain") * F.col("source_size")
@@ -95,6 +103,7 @@ def mix_documents(
     weights: Sequence[float] = (1, 2, 3),
     cap: float = CAP,
     seed: int = 7,
+    even: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -103,7 +112,8 @@ def mix_documents(
     """``(id, size, source_size, target, copies)`` for every row of ``docs``, whose size is its words.
 
     Sources in order of code point, null last, have ``weights`` over and over, and share all words
-    there are; see ``targets`` and ``mix``. ``tag_col`` names a column to carry along.
+    there are; see ``targets`` and ``mix``. Beyond the certain copies a document's inclusion odds depend on its
+    size, see ``length_odds``; ``even`` makes those of a source alike. ``tag_col`` names a column to carry along.
 
     A null text has size 0. A null source is a source. A source without words has target 0. Null
     ids are allowed; rows that repeat id and text tie and are taken one by one. An empty table
@@ -119,7 +129,7 @@ def mix_documents(
     )
     rows = materialize(rows, "sized")
     sources = targets(cycle_weights(source_sizes(rows), weights), cap=cap)
-    mixed = mix(rows, sources, seed)
+    mixed = mix(rows, sources, seed, by_length=not even)
     carried = ["tag"] if tag_col else []
     return mixed.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", *carried)
 
