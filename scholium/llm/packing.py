@@ -20,7 +20,6 @@ CAPACITY = 4096
 END_ID = 1
 # Pieces that one task packs; a task holds a few numbers for each.
 PIECES_PER_TASK = 1 << 16
-ROUNDS = 3
 
 _SPACE = re.compile("[ \n]")
 _WORD = re.compile("[^ \t\n\v\f\r]+")
@@ -195,7 +194,7 @@ def _pack(capacity: int, round_no: int):
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         # With a gap all bins with room are repacked; a certified partition offers its emptiest.
         loose = fill < capacity if len(fill) > bound else (fill == fill.min()) & (fill < capacity)
-        numbers = ((round_no << 24 | part) << 32) + place
+        numbers = ((round_no << 24 | part) << 28) + place
         made = table.select([c for c in table.column_names if c not in ("sequence_id", "offset", "loose", "bound")])
         made = made.append_column("sequence_id", pa.array(numbers, pa.int64()))
         made = made.append_column("offset", pa.array(offset, pa.int64()))
@@ -212,13 +211,13 @@ def _bins(packed: DataFrame) -> int:
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to ``pieces``, whose ``length`` is 1 to ``capacity``.
+    """Adds ``sequence_id``, ``offset`` and ``least_sequences`` to ``pieces``, whose ``length`` is 1 to ``capacity``.
 
     Pieces are dealt evenly to tasks of at most about ``pieces_per_task``, each packed by best-fit
     decreasing and held against its lower bound. While there are more sequences than the bound of
     all pieces together, the sequences with room of the partitions that have a gap, and the
     emptiest of the others, are pooled, dealt anew and repacked, as long as that saves sequences.
-    Only lengths and ids move.
+    Only lengths and ids move. ``least_sequences`` is that bound: no packing has fewer sequences.
     """
     schema = pieces.schema.simpleString().removeprefix("struct<").removesuffix(">")
     schema += ", sequence_id: bigint, offset: bigint, loose: boolean, bound: bigint"
@@ -234,9 +233,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_task: in
 
     settled, current = None, packed(pieces, int(counts.sum()), 1)
     total = _bins(current)
-    for round_no in range(2, ROUNDS + 1):
-        if total <= need:
-            break
+    round_no = 1
+    while total > need:
+        round_no += 1
         loose = current.filter("loose")
         again = packed(loose, loose.count(), round_no)
         saved = _bins(loose) - _bins(again)
@@ -246,7 +245,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_task: in
         settled = done if settled is None else settled.unionByName(done)
         current, total = again, total - saved
     whole = current if settled is None else settled.unionByName(current)
-    return whole.drop("loose", "bound")
+    return whole.drop("loose", "bound").withColumn("least_sequences", F.lit(need))
 
 
 def pack_documents(
@@ -258,7 +257,7 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``(id, piece, start, length, ids_crc32, sequence_id, offset)``: all texts packed into
+    """``(id, piece, start, length, ids_crc32, sequence_id, offset, least_sequences)``: all texts packed into
     sequences of at most ``capacity`` tokens.
 
     A text's ids come from the tokenizer file ``vocabulary`` and are followed by ``end_id``; only a
