@@ -4,6 +4,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +13,10 @@ from scholium.llm.shared import map_arrow, ship_package
 from scholium.plans.storage import materialize
 
 UNKNOWN = "und"
-# Labelled texts of each language that the network is trained on, at most, and windows of each text.
+# Labelled texts of each language that the network is trained on, at most; all of their windows are.
 SAMPLE_PER_CLASS = 1500
-WINDOWS_PER_TEXT = 3
+# Ranges of a text's mark, in which texts are counted before any are ranked.
+MARK_BITS = 16
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -126,13 +128,22 @@ def labelled_sample(
 ) -> DataFrame:
     """``(label, text)``: for each label the ``per_class`` rows that come first by a hash of id and text.
 
-    Ranking moves ids and hashes only, and a task sends at most ``per_class`` of them per label.
+    Texts are counted by label and range of the hash first, which moves one row per task and range. Only the ranges up to
+    the one in which a label has enough are ranked, so whatever share of the texts a label has, one task ranks about
+    ``per_class`` rows and the texts of one range. Ids and hashes are moved, no texts. A row that repeats counts each time
+    and is taken once. Null labels and null or empty texts are left out; an empty table gives an empty sample.
     """
     rows = docs.filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
     rows = rows.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("mark"))
+    bucket = F.shiftright("mark", 64 - MARK_BITS).alias("bucket")
+    counts = rows.groupBy("label", bucket).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.select("label", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    needed = needed.filter(F.col("before") < per_class).groupBy("label").agg(F.max("bucket").alias("up_to"))
+    marks = rows.select("label", "mark").join(F.broadcast(needed), "label").filter(F.shiftright("mark", 64 - MARK_BITS) <= F.col("up_to"))
     # One text a mark: repeated rows tie, and the mark is their only key.
     rank = F.row_number().over(Window.partitionBy("label").orderBy("mark"))
-    marks = rows.select("label", "mark").withColumn("n", rank).filter(F.col("n") <= per_class)
+    marks = marks.select("label", "mark").withColumn("n", rank).filter(F.col("n") <= per_class)
     last = marks.groupBy("label").agg(F.max("mark").alias("last"), F.count(F.lit(1)).alias("n"))
     # One row a label, of which the network has an output each.
     chosen = rows.join(F.broadcast(last), "label").filter(F.col("mark") <= F.col("last"))
@@ -141,31 +152,31 @@ def labelled_sample(
 
 
 def fit(sample: DataFrame) -> ByteNetwork | None:
-    """A network trained on windows of a bounded ``sample(label, text)``; None without a sample.
+    """A network trained on all windows of a bounded ``sample(label, text)``; None without a sample.
 
-    ``WINDOWS_PER_TEXT`` windows of each text, evenly spread, reach the driver.
+    The windows reach the driver: little more than the sample's bytes.
     """
     ship_package(sample.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             windows, owner = windows_of(batch.column(1).to_pylist())
-            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            spread = [np.linspace(a, b - 1, min(WINDOWS_PER_TEXT, b - a)).astype(int) for a, b in zip(bounds, bounds[1:])]
-            chosen = np.concatenate([np.zeros(0, int), *spread])
-            labels = batch.column(0).take(pa.array(owner[chosen]))
-            data = pa.array([windows[i].tobytes() for i in chosen], pa.binary())
-            yield pa.RecordBatch.from_arrays([labels, data], names=["label", "data"])
+            for start in range(0, len(owner), 1 << 14):
+                labels = batch.column(0).take(pa.array(owner[start : start + (1 << 14)]))
+                data = pa.array([w.tobytes() for w in windows[start : start + (1 << 14)]], pa.binary())
+                yield pa.RecordBatch.from_arrays([labels, data], names=["label", "data"])
 
     cut_rows = sample.mapInArrow(cut, "label string, data binary").toArrow()
     if not cut_rows.num_rows:
         return None
     # In a fixed order, so that training gives the same network every time.
-    pairs = sorted(zip(cut_rows.column("label").to_pylist(), cut_rows.column("data").to_pylist(), strict=True))
-    classes = sorted({label for label, _ in pairs})
+    cut_rows = cut_rows.sort_by([("label", "ascending"), ("data", "ascending")])
+    classes = sorted(set(cut_rows.column("label").to_pylist()))
+    labels = pa.compute.index_in(cut_rows.column("label"), pa.array(classes)).to_numpy().astype(np.int64)
+    x = np.frombuffer(b"".join(cut_rows.column("data").to_pylist()), np.uint8).reshape(-1, WINDOW)
+    del cut_rows
     network = ByteNetwork(classes)
-    x = np.frombuffer(b"".join(data for _, data in pairs), np.uint8).reshape(-1, WINDOW)
-    network.train(x, np.asarray([classes.index(label) for label, _ in pairs]))
+    network.train(x, labels)
     return network
 
 

@@ -46,6 +46,64 @@ def test_windows_cover_whole_texts():
         assert joined.rstrip(b"\0").decode() == text
 
 
+def plain_forward(network, window):
+    """One window through the network, a byte and a filter at a time."""
+    p, pooled = network.params, []
+    for w in language.WIDTHS:
+        for f in range(language.FILTERS):
+            best = -math.inf
+            for at in range(len(window) - w + 1):
+                best = max(best, sum(float(p["embed"][window[at + j]] @ p[f"filter{w}"][j][:, f]) for j in range(w)))
+            pooled.append(max(best + p[f"shift{w}"][f], 0.0))
+    return [sum(x * p["out"][i][c] for i, x in enumerate(pooled)) + p["bias"][c] for c in range(len(network.classes))]
+
+
+def test_network_matches_plain_forward_pass_and_gradient():
+    network = language.ByteNetwork(["a", "b", "c"])
+    windows, _ = language.windows_of(["el gato duerme", "the cat sleeps", "the dog barks"])
+    labels, weights = np.array([0, 1, 2]), np.array([0.5, 1.0, 1.5])
+    got = network.logits(windows, network.tables())
+    want = np.array([plain_forward(network, w) for w in windows])
+    assert np.allclose(got, want, atol=1e-4)
+
+    def loss():
+        z = np.array([plain_forward(network, w) for w in windows])
+        return float((weights * (np.log(np.exp(z).sum(axis=1)) - z[np.arange(3), labels])).mean())
+
+    gradient = network._gradient(windows, labels, weights)
+    places = [("bias", (1,)), ("out", (4, 2)), ("shift3", (5,)), ("filter2", (1, 3, 2)), ("embed", (ord("e"), 1)), ("embed", (0, 2))]
+    for name, at in places:
+        value = network.params[name][at]
+        network.params[name][at] = value + 1e-5
+        above = loss()
+        network.params[name][at] = value - 1e-5
+        below = loss()
+        network.params[name][at] = value
+        assert gradient[name][at] == pytest.approx((above - below) / 2e-5, abs=1e-4)
+
+
+def test_prediction_is_the_mean_of_whole_texts(spark):
+    network = language.ByteNetwork(["a", "b", "c"])
+    texts = ["x y z " * 80, "né à Paris " * 30, "short"]
+    rows = language.predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), network).collect()
+    for i, text, name, score in rows:
+        windows, _ = language.windows_of([text])
+        z = np.mean([plain_forward(network, w) for w in windows], axis=0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert name == network.classes[int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-3)
+
+
+def test_sample_takes_the_first_texts_of_each_label(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('t', id % 4000) AS text", "IF(id % 10 < 8, 'en', concat('l', id % 10)) AS lang")
+    marks = docs.selectExpr("lang", "text", "xxhash64(doc_id, text) AS mark").collect()
+    want = {(r["lang"], r["text"], r["mark"]) for r in marks}
+    by = defaultdict(list)
+    for lang, text, mark in want:
+        by[lang].append((mark, text))
+    first = sorted((lang, text) for lang, rows in by.items() for _, text in sorted(rows)[:300])
+    assert sorted((r["label"], r["text"]) for r in language.labelled_sample(docs, 300).collect()) == first
+
+
 def test_toxicity_of_held_out_texts(spark):
     found = queries.op7_toxicity(spark, SF)
     truth = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")

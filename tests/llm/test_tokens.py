@@ -121,6 +121,46 @@ def test_packing_odd_rows(odd, none):
     assert packing.pack_documents(none, WORDS).count() == 0
 
 
+def test_repacking_goes_on_until_it_saves_nothing(spark):
+    rng = random.Random(6)
+    pieces = spark.createDataFrame([(i, rng.randrange(1, 100)) for i in range(3000)], "id long, length long")
+    rows = packing.pack_pieces(pieces, 100, 30).collect()
+    bound = packing.lower_bound(np.bincount([r["length"] for r in rows], minlength=101), 100)
+    assert {r["least_sequences"] for r in rows} == {bound} and len({r["id"] for r in rows}) == 3000
+    # Tasks of 30 pieces leave gaps that one more deal of the loose ones lessens, but cannot close.
+    lengths = [r["length"] for r in rows]
+    once = sum(len(packing.best_fit_decreasing(np.asarray(lengths[i::100]), 100)[2]) for i in range(100))
+    assert bound <= check_packed(rows, 100) < once
+
+
+def test_mix_is_a_pareto_sample_by_length(spark):
+    rng = random.Random(8)
+    data = [(f"s{rng.randrange(3)}", rng.choice([0, 3, 10, 50, 400]), i) for i in range(900)]
+    rows = spark.createDataFrame(data, "source string, size long, mark long")
+    part = {"s0": 0.3, "s1": 1.6, "s2": 2.5}
+    sources = mixing.source_sizes(rows)
+    sources = sources.selectExpr("*", "source_size * CASE source WHEN 's0' THEN 0.3D WHEN 's1' THEN 1.6D ELSE 2.5D END AS target")
+    uniform = {r["mark"]: r["h"] for r in rows.selectExpr("mark", "shiftrightunsigned(xxhash64(5, mark), 11) AS h").collect()}
+    want = {}
+    for name, times in part.items():
+        own = [(size, mark) for source, size, mark in data if source == name]
+        total = sum(size for size, _ in own)
+        mean, fraction = total / len(own), times - int(times)
+
+        def rank(row):
+            u = (uniform[row[1]] + 0.5) / 2**53
+            return u / (1 - u) / (fraction / (1 - fraction) * 2 * mean / (row[0] + mean))
+
+        before = 0
+        for size, mark in sorted(own, key=rank):
+            want[mark] = int(times) + (2 * before + size <= 2 * (times - int(times)) * total)
+            before += size
+    got = {r["mark"]: r["copies"] for r in mixing.mix(rows, sources, 5, by_length=True).collect()}
+    assert got == want
+    taken = {size: sum(want[m] for s, z, m in data if z == size and s == "s0") / sum(s == "s0" and z == size for s, z, _ in data) for size in (3, 400)}
+    assert taken[3] > taken[400]
+
+
 def plain_targets(sizes, weights, cap=3.0):
     total, full = sum(sizes), set()
     while True:
