@@ -15,6 +15,8 @@ from scholium.plans.storage import materialize
 UNKNOWN = "und"
 # Labelled texts of each language that the network is trained on, at most; all of their windows are.
 SAMPLE_PER_CLASS = 1500
+# Training goes over all windows as often as it takes to make so many steps, once at least and 8 times at most.
+STEPS, BATCH = 3000, 64
 # Ranges of a text's mark, in which texts are counted before any are ranked.
 MARK_BITS = 16
 WINDOW = 128
@@ -152,7 +154,8 @@ def labelled_sample(
 
 
 def fit(sample: DataFrame) -> ByteNetwork | None:
-    """A network trained on all windows of a bounded ``sample(label, text)``; None without a sample.
+    """A network trained on all windows of a bounded ``sample(label, text)``; None without a sample. The more
+    windows there are, the fewer times each is seen, see ``STEPS``.
 
     The windows reach the driver: little more than the sample's bytes.
     """
@@ -176,7 +179,7 @@ def fit(sample: DataFrame) -> ByteNetwork | None:
     x = np.frombuffer(b"".join(cut_rows.column("data").to_pylist()), np.uint8).reshape(-1, WINDOW)
     del cut_rows
     network = ByteNetwork(classes)
-    network.train(x, labels)
+    network.train(x, labels, min(8, -(-STEPS * BATCH // len(x))), BATCH)
     return network
 
 
