@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scholium.operators import index, retrieve
 from scholium.plans.storage import scratch_path
+from scholium.registry import streaming
 from scholium.sources import library_table
 from scholium.streaming import streams
 
@@ -146,3 +147,17 @@ def test_sessions_are_answered_from_an_index(spark, rows):
     streams.stream_questions(asked, index.build_index(chunks, scratch_path(spark, "index")), out, checkpoint).awaitTermination()
     questions = spark.createDataFrame([(1, "fox"), (4, "whale")], "qid long, text string")
     assert rows(spark.read.parquet(out).drop("batch")) == rows(retrieve.topk_sparse(questions, chunks))
+
+
+def test_a_larger_table_arrives_in_more_files(spark, rows, monkeypatch):
+    path = scratch_path(spark, "stored")
+    spark.range(2_000).selectExpr("id", "md5(cast(id AS string)) AS text").coalesce(1).write.parquet(path)
+    stored = spark.read.parquet(path)
+    monkeypatch.setattr(streaming, "ARRIVING_BYTES", 8_000)
+    files = streaming._files_a_batch(spark, stored, 2)
+    assert files > 3
+    batches = []
+    query = streaming._arriving(spark, stored).writeStream.foreachBatch(lambda batch, i: batches.append(rows(batch)))
+    query.option("checkpointLocation", scratch_path(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 2 and sorted(batches[0] + batches[1], key=repr) == rows(stored)
+    assert max(map(len, batches)) < 1_500
