@@ -99,6 +99,13 @@ def test_lookup_equals_left_join(spark, rows, monkeypatch, share):
     assert rows(skew.salted_lookup(data, table, "k", ["id"]).select("id", "k", "v")) == matched
 
 
+def test_the_repeated_table_is_not_broadcast(spark):
+    data = spark.range(600).selectExpr("id", "concat('k', id % 50) AS k")
+    table = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, v int")
+    plan = skew.salted_lookup(data, table, "k", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_scan_reads_direct_children(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name, content in (("a.txt", "abc"), ("empty.txt", ""), ("sub/b.txt", "deep")):
