@@ -12,6 +12,9 @@ from scholium.llm import exact_dedup, mixing, ngram_join, packing, queries, toxi
 from scholium.llm.shared import free_name
 from scholium.plans.storage import discard, materialize
 
+# Words whose token ids a packing worker remembers; rows do not depend on it.
+REMEMBERED_WORDS = 50_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 1/2. The classifier is fitted on their labelled rows, see ``toxicity_model``."""
@@ -36,8 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4,096 tokens."""
-    return packing.pack_documents(docs, queries.vocabulary("word_bpe_49k.json"))
+    """Pieces of all documents in sequences of at most 4,096 tokens. The stages before have left the executors' heaps grown, so
+    workers remember fewer words than the operator would alone."""
+    return packing.pack_documents(docs, queries.vocabulary("word_bpe_49k.json"), remembered=REMEMBERED_WORDS)
 
 
 STAGES = [

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.shared import releasing, ship_package, worker_state
+from scholium.llm.shared import releasing, ship_package, small_batches, worker_state
 from scholium.llm.token_counts import byte_letters
 from scholium.plans.storage import materialize
 
@@ -57,10 +57,10 @@ class WordIds:
     For tokenizers that compose and lower-case text, drop white space and merge the bytes of runs of
     letters, of digits or of marks: a text's ids are its words' ids, and those are their runs' ids. A new run is
     merged by the tokenizer's own model. Words with characters that composing might change, or that may hold special
-    strings, go through the whole tokenizer.
+    strings, go through the whole tokenizer. ``remembered`` bounds the memory, see ``Recent``; ids do not depend on it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -68,7 +68,7 @@ class WordIds:
         self.cut = regex.compile(RUNS)
         # Below U+0300 no character composes with others. Separators that libraries disagree on are left to the tokenizer.
         self.other = re.compile("[^\x00-\x1b\x20-\x84\x86-\u02ff]|<\\|")
-        self.words, self.runs = Recent(self._word), Recent(self._run)
+        self.words, self.runs = Recent(self._word, remembered), Recent(self._run, remembered)
 
     def _run(self, run: str) -> bytes:
         spelled = run if run.isascii() else run.encode("utf-8").decode("latin-1").translate(self.letters)
@@ -97,7 +97,8 @@ class WordIds:
 
 
 def cut_pieces(
-    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: every text as ids and an end id, cut only where it
     is longer than ``capacity``. A null text is empty and has the end id alone."""
@@ -105,7 +106,7 @@ def cut_pieces(
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_state(f"ids:{vocabulary}", lambda: WordIds(vocabulary))
+        encoder = worker_state(f"ids:{vocabulary}:{remembered}", lambda: WordIds(vocabulary, remembered))
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
@@ -256,15 +257,18 @@ def pack_documents(
     pieces_per_task: int = PIECES_PER_TASK,
     id_col: str = "doc_id",
     text_col: str = "text",
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """``(id, piece, start, length, ids_crc32, sequence_id, offset, least_sequences)``: all texts packed into
     sequences of at most ``capacity`` tokens.
 
     A text's ids come from the tokenizer file ``vocabulary`` and are followed by ``end_id``; only a
-    longer one is cut, see ``cut_pieces``. Packing is ``pack_pieces``.
+    longer one is cut, see ``cut_pieces``. Packing is ``pack_pieces``. A worker remembers the ids of up to twice
+    ``remembered`` words: more take memory, fewer take time, the rows are the same.
 
     A null text is empty: its end id is packed. Ids pass through, null and repeated ones too, and
     repeated rows are packed one by one. An empty table gives no rows. Other columns are ignored.
     """
-    pieces = materialize(cut_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = materialize(cut_pieces(docs, vocabulary, capacity, end_id, id_col, text_col, remembered), "pieces")
     return pack_pieces(pieces, capacity, pieces_per_task).withColumnRenamed("id", id_col)

@@ -8,6 +8,7 @@ import sys
 import tempfile
 import types
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,6 +62,24 @@ def releasing(task):
     return run
 
 
+# Settings of the batches in which Spark sends rows to Python, and their values in ``small_batches``.
+_SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While it lasts, jobs that start send rows to Python in batches of some MB. An executor holds a batch of texts several
+    times over: as vectors, as the stream it writes, and in the worker that reads it."""
+    before = {name: spark.conf.get(name) for name in _SMALL_BATCHES}
+    for name, value in _SMALL_BATCHES.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def on_plain_names(docs: DataFrame, named: Sequence[str], work) -> DataFrame:
     """``work(docs)``, which returns the columns of ``docs``. All columns but the ``named`` ones have names on
     the way that no operator uses and that need no quotes."""

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,6 +122,36 @@ def test_packing_odd_rows(odd, none):
     assert packing.pack_documents(none, WORDS).count() == 0
 
 
+def test_texts_reach_the_tokenizer_in_small_batches(spark, tmp_path, monkeypatch):
+    def noting(task):
+        def run(batches):
+            def noted():
+                for batch in batches:
+                    with open(tmp_path / "bytes", "a") as file:
+                        print(batch.nbytes, file=file)
+                    yield batch
+
+            yield from task(noted())
+
+        return run
+
+    settings = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(name) for name in settings]
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('lorem ipsum ', if(id < 100, 4000, 300)) AS text")
+    monkeypatch.setattr(packing, "releasing", noting)
+    rows = packing.pack_documents(docs, WORDS)
+    assert rows.select("doc_id").distinct().count() == 4000
+    assert max(map(int, (tmp_path / "bytes").read_text().split())) < 8_000_000
+    assert [spark.conf.get(name) for name in settings] == before
+
+
+def test_ids_do_not_depend_on_the_words_remembered(sf_dir):
+    texts = [t for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column(0).to_pylist() if t][:20]
+    few, many = packing.WordIds(WORDS, 3), packing.WordIds(WORDS)
+    assert [few.encode(t) for t in texts] == [many.encode(t) for t in texts]
+    assert max(len(kept) + len(kept.old) for kept in (few.words, few.runs)) <= 6
+
+
 def test_repacking_goes_on_until_it_saves_nothing(spark):
     rng = random.Random(6)
     pieces = spark.createDataFrame([(i, rng.randrange(1, 100)) for i in range(3000)], "id long, length long")
