@@ -76,7 +76,8 @@ def batch_search(
     A query is looked up by one of its tokens only, the longest, which is likely rare; the others
     are then tested on the document itself. So a common word does not pair all of its queries with
     all of its documents. Queries within the bound are broadcast and documents are not shuffled.
-    Beyond it the lookup is a salted shuffle join of narrow rows, so that a hot token is spread.
+    Beyond it the lookup is a salted shuffle join of narrow rows, so that a hot token is spread; a bitmap leaves
+    out most words that no query is looked up by, and a query of one word is answered by the lookup.
     The bound is checked by counting the queries; pass them materialized if they are costly.
     """
     need = tx.keyword_tokens(F.col("keyword"))
@@ -95,8 +96,11 @@ def batch_search(
 
     salt = F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    posts = unnest(words, [doc_id, salt.alias("salt")], F.col("words"), "tok")
-    candidates = posts.join(asked.select("*", copies.alias("salt")), ["tok", "salt"])
+    posts = skew.may_match(unnest(words, [doc_id, salt.alias("salt")], F.col("words"), "tok"), asked, "tok")
+    # Never broadcast: the planner goes by the size of the queries before they are repeated for each salt.
+    candidates = posts.join(asked.select("*", copies.alias("salt")).hint("merge"), ["tok", "salt"])
+    if asked.filter(F.size("others") > 0).isEmpty():
+        return candidates.select("qid", doc_id)
     return candidates.join(words, doc_id).filter(holds_all).select("qid", doc_id)
 
 

@@ -2,8 +2,8 @@
 
 import pytest
 
-from scholium.operators import search
-from scholium.plans import jobs
+from scholium.operators import search, weighting
+from scholium.plans import jobs, skew
 from scholium.registry import searching
 
 DOCS = [(0, "The aging of cells"), (1, "lung cancer and AGING"), (2, "cancer of the lung"), (3, "agings"), (4, ""), (5, None)]
@@ -75,3 +75,31 @@ def test_limited_queries_need_all_words(spark, tmp_path, rows):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "Red fox!")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert rows(searching.limit_per_query(spark, str(tmp_path))) == [(7, 1, 1), (7, 2, 2)]
+
+
+def test_one_word_queries_beyond_the_bound(spark, rows):
+    docs = spark.createDataFrame([(7, "red fox"), (7, "red"), (8, "blue"), (None, "fox")], "doc_id long, text string")
+    asked = spark.createDataFrame([("red", "red"), ("fox", "fox")], "qid string, keyword string")
+    far = search.batch_search(asked, docs, broadcast_queries=0)
+    assert rows(far) == rows(search.batch_search(asked, docs)) and far.count() == 4
+    plan = far._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1  # words are not fetched again
+
+
+def test_asked_tokens_are_not_broadcast(spark, rows, monkeypatch):
+    plans, keep = [], weighting.materialize
+    monkeypatch.setattr(weighting, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
+    corpus = spark.createDataFrame([(1, "red fox"), (2, "red")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "red dog?"), (2, "fox red red")], "qid long, text string")
+    got = rows(search.question_keywords(asked, corpus, 2).select("qid", "rank", "keyword"))
+    assert got == [(1, 1, "dog"), (1, 2, "red"), (2, 1, "red"), (2, 2, "fox")]
+    assert plans and not any("LeftSemi" in plan for plan in plans)
+
+
+def test_bitmap_is_bounded_and_keeps_all_that_match(spark):
+    keys = spark.range(300_000).selectExpr("CAST(id AS STRING) AS tok")
+    assert skew.key_bitmap(keys, "tok").count() <= 1 << 17
+    every = spark.range(600_000).selectExpr("id", "CAST(id AS STRING) AS tok")
+    found = skew.may_match(every, keys, "tok")
+    assert found.columns == ["id", "tok"] and found.filter("id < 300000").count() == 300_000
+    assert found.count() < 330_000
