@@ -70,6 +70,7 @@ def batch_search(
     doc_id: str = "doc_id",
     text: str = "text",
     broadcast_queries: int = BROADCAST_QUERIES,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """``(qid, doc_id)`` for every document that holds all tokens of ``queries(qid, keyword)``.
 
@@ -78,7 +79,9 @@ def batch_search(
     all of its documents. Queries within the bound are broadcast and documents are not shuffled.
     Beyond it the lookup is a salted shuffle join of narrow rows, so that a hot token is spread; a bitmap leaves
     out most words that no query is looked up by, and a query of one word is answered by the lookup.
-    The bound is checked by counting the queries; pass them materialized if they are costly.
+    The bound is checked by counting the queries; pass them materialized if they are costly. With ``frequencies(tok, df)`` of
+    the documents, queries beyond the bound whose token is frequent, see ``hot_keys``, are still broadcast, if they are
+    within it; then no word of a document is shuffled but the seldom ones.
     """
     need = tx.keyword_tokens(F.col("keyword"))
     longest = F.array_max(F.transform("need", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
@@ -90,18 +93,31 @@ def batch_search(
     # unnested row would then be written out together with its array of words.
     holds_all = F.size(F.array_intersect("words", "others")) == F.size("others")
 
-    if asked.limit(broadcast_queries + 1).count() <= broadcast_queries:
-        found = unnest(words, ["*"], F.col("words"), "tok").join(F.broadcast(asked), "tok")
+    def where_they_lie(some: DataFrame) -> DataFrame:
+        found = unnest(words, ["*"], F.col("words"), "tok").join(F.broadcast(some), "tok")
         return found.filter(holds_all).select("qid", doc_id)
 
+    if asked.limit(broadcast_queries + 1).count() <= broadcast_queries:
+        return where_they_lie(asked)
+
+    often = None
+    if frequencies is not None:
+        hot = F.broadcast(skew.hot_keys(frequencies, "df").select("tok"))
+        often = asked.join(hot, "tok", "left_semi")
+        if often.limit(broadcast_queries + 1).count() <= broadcast_queries:
+            asked = asked.join(hot, "tok", "left_anti").select(*asked.columns)
+        else:
+            often = None
+
     salt = F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     posts = skew.may_match(unnest(words, [doc_id, salt.alias("salt")], F.col("words"), "tok"), asked, "tok")
     # Never broadcast: the planner goes by the size of the queries before they are repeated for each salt.
     candidates = posts.join(asked.select("*", copies.alias("salt")).hint("merge"), ["tok", "salt"])
-    if asked.filter(F.size("others") > 0).isEmpty():
-        return candidates.select("qid", doc_id)
-    return candidates.join(words, doc_id).filter(holds_all).select("qid", doc_id)
+    if not asked.filter(F.size("others") > 0).isEmpty():
+        candidates = candidates.join(words, doc_id).filter(holds_all)
+    found = candidates.select("qid", doc_id)
+    return found if often is None else found.unionByName(where_they_lie(often))
 
 
 def limit_per_query(hits: DataFrame, retmax: int = DEFAULT_RETMAX, doc_id: str = "doc_id") -> DataFrame:
@@ -129,11 +145,13 @@ def keyword_hit_counts(queries: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def question_keywords(questions: DataFrame, corpus: DataFrame, n: int = 5, text: str = "text") -> DataFrame:
-    """``(qid, rank, keyword, weight)``: the ``n`` tokens of each question that tell most."""
-    clean = questions.select("qid", tx.strip_question_marks(F.col("text")).alias("text"))
-    posts = weighting.postings(clean, ["qid"])
-    frequencies = weighting.frequencies_for(posts, corpus.select(F.col(text).alias("text")))
+def question_keywords(
+    questions: DataFrame, corpus: DataFrame, n: int = 5, text: str = "text", frequencies: DataFrame | None = None
+) -> DataFrame:
+    """``(qid, rank, keyword, weight)``: the ``n`` tokens of each question that tell most, by ``frequencies`` if they are there."""
+    posts = _question_postings(questions)
+    if frequencies is None:
+        frequencies = weighting.frequencies_for(posts, corpus.select(F.col(text).alias("text")))
     weights = weighting.weighted_foreign(posts, frequencies, ["qid"])
     ranked = skew.top_n_per_key(
         weights.select("qid", F.col("tok").alias("keyword"), F.round("w", 6).alias("weight")),
@@ -147,7 +165,13 @@ def question_keywords(questions: DataFrame, corpus: DataFrame, n: int = 5, text:
 
 def search_by_question(questions: DataFrame, corpus: DataFrame, n: int = 5, doc_id: str = "doc_id") -> DataFrame:
     """``(keyword, doc_id)``: what each generated keyword finds."""
-    keywords = question_keywords(questions, corpus, n).select("keyword").distinct()
+    frequencies = weighting.frequencies_for(_question_postings(questions), corpus.select("text"))
+    keywords = question_keywords(questions, corpus, n, frequencies=frequencies).select("keyword").distinct()
     keywords = materialize(keywords, "keywords")
     queries = keywords.select(F.col("keyword").alias("qid"), "keyword")
-    return batch_search(queries, corpus, doc_id).withColumnRenamed("qid", "keyword")
+    real = frequencies.filter(F.col("tok") != weighting.EVERY_TEXT)
+    return batch_search(queries, corpus, doc_id, frequencies=real).withColumnRenamed("qid", "keyword")
+
+
+def _question_postings(questions: DataFrame) -> DataFrame:
+    return weighting.postings(questions.select("qid", tx.strip_question_marks(F.col("text")).alias("text")), ["qid"])

@@ -103,3 +103,15 @@ def test_bitmap_is_bounded_and_keeps_all_that_match(spark):
     found = skew.may_match(every, keys, "tok")
     assert found.columns == ["id", "tok"] and found.filter("id < 300000").count() == 300_000
     assert found.count() < 330_000
+
+
+def test_frequent_words_are_not_shuffled(spark, docs, queries, rows, monkeypatch):
+    df = spark.createDataFrame([("aging", 2), ("cancer", 2), ("the", 5), ("and", 1), ("nothing", 0)], "tok string, df long")
+    for share in (1, 4, 20_000):
+        monkeypatch.setattr(skew, "HOT_SHARE", share)
+        assert rows(search.batch_search(queries, docs, broadcast_queries=3, frequencies=df)) == HITS
+    one = spark.createDataFrame([(i, word) for i, word in enumerate(["the", "aging", "of"])], "qid long, keyword string")
+    monkeypatch.setattr(skew, "HOT_SHARE", 4)
+    found = search.batch_search(one, docs, broadcast_queries=2, frequencies=df)
+    assert rows(found) == rows(search.batch_search(one, docs))
+    assert "LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString()
